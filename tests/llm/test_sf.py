@@ -138,7 +138,7 @@ def measured(spark, name, label, n, held):
 
 def test_toxicity(spark):
     auc, acc = measured(spark, "op4_toxicity", "toxic", 5, 0)
-    assert auc > 0.9 and acc > 0.93
+    assert auc > 0.85 and acc > 0.93
 
 
 def test_quality(spark):
