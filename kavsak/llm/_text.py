@@ -11,7 +11,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Fixed odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _U = np.uint64
@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     if which not in _tables or len(_tables[which][0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, 1 << 20)
         both = []
         for x in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             t = np.full(m, x, _U)

@@ -57,8 +57,8 @@ def emit(width: int, k: int, by_words: bool):
             h, s, doc, a, n = runs_of(tokens, first, width, k)
             if not len(a):
                 continue
-            rows = rows.take(pa.array(doc))
-            out = [T.long(h), T.long(s), T.column(rows, "doc_id"), T.column(rows, "th"), pa.array((a - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
+            doc_id, th = (T.column(rows, x).take(pa.array(doc)) for x in ("doc_id", "th"))
+            out = [T.long(h), T.long(s), doc_id, th, pa.array((a - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
             if by_words:
                 b0, b1 = starts[a] - off[doc], ends[a + n - 2 + width] - off[doc]
             else:
