@@ -20,7 +20,7 @@ from . import _text as T
 from ._spark import materialise
 
 #: Different strings of one minimiser that are compared in one task.
-HOT = 8192
+HOT = 60_000
 
 
 def runs_of(tokens: np.ndarray, first: np.ndarray, width: int, k: int):
@@ -78,8 +78,9 @@ def candidates(docs: DataFrame, width: int, k: int, by_words: bool) -> DataFrame
     """Runs whose minimiser may hold a repeated window; ``one`` if all runs of the minimiser are the same string."""
     runs = docs.mapInArrow(emit(width, k, by_words), "h long, s long, doc_id long, th int, a int, n int, b0 int, nb int")
     found = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"), *([F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")] if by_words else []))
-    found = found.where("d1 > d0" if by_words else "c > 1")
-    return materialise(runs.join(found.select("h", (F.col("s0") == F.col("s1")).alias("one"), *(["d0"] if by_words else [])), "h"))
+    # written, so that the join's own shuffles can be split where a minimiser is frequent
+    found = materialise(found.where("d1 > d0" if by_words else "c > 1").select("h", (F.col("s0") == F.col("s1")).alias("one"), *(["d0"] if by_words else [])))
+    return materialise(runs.join(found, "h"))
 
 
 def pieces(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:

@@ -129,12 +129,12 @@ def takes(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float =
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with a column ``copy`` that numbers them from 1."""
-    got = takes(docs, **options).select(F.col("doc_id").alias("_kv_d"), F.col("size").alias("_kv_s"), F.coalesce("source", F.lit("")).alias("_kv_o"), F.col("source").isNull().alias("_kv_n"), "copies")
+    got = takes(docs, **options).select(F.col("doc_id").alias("_kv_d"), F.col("size").alias("_kv_s"), F.coalesce("source", F.lit("")).alias("_kv_o"), F.col("source").isNull().alias("_kv_n"), F.col("copies").alias("_kv_c"))
     same = Window.partitionBy("_kv_d", "_kv_s", "_kv_o", "_kv_n")
-    got = got.withColumn("_kv_i", F.row_number().over(same.orderBy(F.desc("copies"))))
+    got = got.withColumn("_kv_i", F.row_number().over(same.orderBy(F.desc("_kv_c"))))
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumns({"_kv_d2": F.col("doc_id").cast("long"), "_kv_s2": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "_kv_o2": F.coalesce(F.col("source").cast("string"), F.lit("")), "_kv_n2": F.col("source").isNull()})
     df = df.withColumn("_kv_i2", F.row_number().over(Window.partitionBy("_kv_d2", "_kv_s2", "_kv_o2", "_kv_n2").orderBy(F.xxhash64(text))))
-    df = df.join(got, F.col("_kv_d2").eqNullSafe(F.col("_kv_d")) & (F.col("_kv_s2") == F.col("_kv_s")) & (F.col("_kv_o2") == F.col("_kv_o")) & (F.col("_kv_n2") == F.col("_kv_n")) & (F.col("_kv_i2") == F.col("_kv_i"))).where("copies > 0")
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy" if "copy" not in docs.columns else "_kv_copy")
+    df = df.join(got, F.col("_kv_d2").eqNullSafe(F.col("_kv_d")) & (F.col("_kv_s2") == F.col("_kv_s")) & (F.col("_kv_o2") == F.col("_kv_o")) & (F.col("_kv_n2") == F.col("_kv_n")) & (F.col("_kv_i2") == F.col("_kv_i"))).where("_kv_c > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("_kv_c").cast("int"))).alias("copy" if "copy" not in docs.columns else "_kv_copy")
     return df.select(*(F.col(f"`{c}`") for c in docs.columns), copy)

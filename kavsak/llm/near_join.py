@@ -180,7 +180,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     # a text is compared in one task with its whole group, or, in a large group, with each block
     block = F.pmod(F.xxhash64("nid", F.lit(7)), F.col("blocks").cast("long")).cast("int")
     tasks = texts.select("*", block.alias("b")).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
-    tasks = tasks.select("nid", "copies", "text", F.xxhash64("grp", F.least("b", "o"), F.greatest("b", "o")).alias("task"), (F.col("b") > F.col("o")).cast("int").alias("side"), "blocks")
+    tasks = tasks.select("nid", "copies", "text", F.xxhash64("grp", F.least("b", "o"), F.greatest("b", "o")).alias("task"), F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "blocks")
     checked = materialise(tasks.repartition(parts, "task").sortWithinPartitions("task", "nid").select("nid", "copies", "text", "task", "side").mapInArrow(verify, "nid long, root long, links long"))
     links = checked.groupBy("nid").agg(F.sum("links").alias("links"))
     pairs = checked.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))

@@ -75,26 +75,32 @@ def equal_suffixes(data: np.ndarray, pos: np.ndarray, group: np.ndarray, width:
 
 
 def _layout(table: pa.Table, width: int, k: int):
-    """Bytes of the packed strings, each window's place, string and distance from its minimiser."""
+    """Bytes of the packed strings, their windows' numbers, and the places of their minimisers."""
     data, off = W.pieces(table, "packed")
     n = table.column("n").to_numpy().astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
-    owner = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(first[-1]) - first[owner]
     h = table.column("h").to_numpy()
     grams = T.gram_hash(data, k).view(np.int64)
     of = np.repeat(h, np.diff(off))[: len(grams)]
     hits = np.flatnonzero(grams == of)
     anchor = hits[np.searchsorted(hits, off[:-1])] - off[:-1]
-    return data, off, n, first, owner, inner, h, anchor
+    return data, off, n, first, h, anchor
 
 
 def compare(width: int, k: int):
     def run(batches):
         for table in W.grouped(batches, AT_ONCE):
-            data, off, n, first, owner, inner, h, anchor = _layout(table, width, k)
-            group = np.cumsum(np.append(False, h[1:] != h[:-1])).astype(np.int64)[owner] * (2 * width) + (anchor[owner] - inner)
-            take = equal_suffixes(data, off[owner] + inner, group, width) | (table.column("c").to_numpy() > 1)[owner]
+            data, off, n, first, h, anchor = _layout(table, width, k)
+            number = np.cumsum(np.append(False, h[1:] != h[:-1])).astype(np.int64) * (2 * width)
+            take = np.repeat(table.column("c").to_numpy() > 1, n)
+            # equal windows lie equally far from their minimiser: some distances at a time bound the memory
+            step = max(1, AT_ONCE // len(n))
+            for low in range(0, width - k + 1, step):
+                far = np.arange(low, min(low + step, width - k + 1))
+                inner = anchor[:, None] - far[None, :]
+                who, what = np.nonzero((inner >= 0) & (inner < n[:, None]))
+                inner = inner[who, what]
+                take[first[who] + inner] |= equal_suffixes(data, off[who] + inner, number[who] + far[what], width)
             if take.any():
                 yield W.spans(table, first, np.zeros(len(take), np.int64), take, False)
 
@@ -106,7 +112,9 @@ def fingerprints(width: int, k: int):
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 table = pa.Table.from_batches([batch.slice(part, 1000)])
-                data, off, n, first, owner, inner, *_ = _layout(table, width, k)
+                data, off, n, first, *_ = _layout(table, width, k)
+                owner = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(first[-1]) - first[owner]
                 at = off[owner] + inner
                 f = [T.span_hash(T.prefix_hash(data, x), at, at + width, x) for x in (0, 1)]
                 keep = table.select(["h", "s", "c", "lo", "hi"]).take(pa.array(owner)).combine_chunks()
