@@ -47,7 +47,8 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_digits": F.length(text) - F.length(F.translate(text, "0123456789", "")),
         "n_stop": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
     }
-    return df.withColumn("_kv_q", F.struct(*(v.alias(k) for k, v in measures.items()))).drop("_kv_w", "_kv_l", "_kv_g", "_kv_p")
+    # one row each through a generator: the optimizer doesn't copy the measures into the filters and votes above it
+    return df.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in measures.items())))).alias("_kv_q")).drop("_kv_w", "_kv_l", "_kv_g", "_kv_p")
 
 
 def rules(q: str = "_kv_q") -> dict[str, Column]:
