@@ -47,7 +47,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def geo_score(km: Column, most: float) -> Column:
     """100 at the place, falling to 0 at ``most`` km; 0 without a distance."""
-    return F.coalesce(100.0 * (1 - F.least(F.greatest(km, F.lit(0.0)), F.lit(most)) / most), F.lit(0.0))
+    return F.when(km.isNull(), 0.0).otherwise(100.0 * (1 - F.least(F.greatest(km, F.lit(0.0)), F.lit(most)) / most))
 
 
 def combine(text: Column, digits: Column, geo: Column, weights: tuple[float, float, float]) -> Column:
