@@ -5,19 +5,29 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. UTF-8 never uses
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Fixed odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _U = np.uint64
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task still counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches, limit: int = CHUNK_BYTES, column: str = "text"):
     """Yield (rows, bytes, offsets) with about ``limit`` bytes of text each; a null text counts as empty."""
     for batch in batches:
@@ -32,6 +42,7 @@ def chunks(batches, limit: int = CHUNK_BYTES, column: str = "text"):
             stop = max(start + 1, int(np.searchsorted(off, off[start] + limit, "right")) - 1)
             yield batch.slice(start, stop - start), data[off[start] : off[stop]], off[start : stop + 1] - off[start]
             start = stop
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     if which not in _tables or len(_tables[which][0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 19)
         both = []
         for x in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             t = np.full(m, x, _U)

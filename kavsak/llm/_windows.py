@@ -105,6 +105,8 @@ def grouped(batches, limit: int):
                 size = int(np.sum(table.column("n").to_numpy()[cut:]))
     if held:
         yield unique(pa.Table.from_batches(held))
+    held.clear()
+    T.release()
 
 
 def unique(table: pa.Table) -> pa.Table:

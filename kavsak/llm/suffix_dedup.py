@@ -22,7 +22,7 @@ from . import _text as T
 from . import _windows as W
 
 #: Length of the strings and of the k-grams that lead to a bucket; depth of the multikey phase; windows sorted at once.
-WIDTH, K, SHALLOW, AT_ONCE = 200, 32, 16, 600_000
+WIDTH, K, SHALLOW, AT_ONCE = 200, 32, 16, 250_000
 _U = np.uint64
 
 
