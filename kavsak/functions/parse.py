@@ -17,6 +17,8 @@ DISTRICTS_A = ("fethiye", "çeşme", "bodrum", "kartal", "kadıköy", "üsküdar
 PROVINCES_C = (*PROVINCES_A, "balıkesir", "manisa", "şanlıurfa", "diyarbakır", "hatay", "k.maraş", "kahramanmaraş", "denizli", "sakarya", "tekirdag")
 DISTRICTS_C = (*DISTRICTS_A, "buca", "karabağlar", "karşıyaka", "menemen", "bayrakli", "bayraklı", "çamlıyayla", "muratpaşa", "kepez", "seyhan", "yüreğir", "çankaya", "yenimahalle")
 TRIGGERS_A = ("apartman", "residence", "rezidans", "blok", "işhanı", "iş hanı", "plaza", "hotel", "otel")
+#: Fixed value: words that end a building's name for the postprocessor.
+TRIGGERS_P = ("apartman", "residence", "rezidans", "işhanı", "iş", "hanı", "otel", "hotel", "site", "blok", "plaza", "tower")
 STOPS_A = ("mahalle", "cadde", "sokak", "bulvar", "no", "daire", "kat", "mevkii", "apartman", "hotel", "otel", "plaza", "blok", "işhanı", "iş hanı", "$")
 STOPS_C = (*STOPS_A[:-1], "bina", "site", "sitesi", "residence", "rezidans", "$")
 CUTS = ("no", "daire", "kat", "mevkii", "il", "ilçe", "ilce", "mahalle", "cadde", "sokak", "bulvar")
@@ -154,6 +156,15 @@ def tail_city(tokens: Column, provinces: Sequence[str]) -> tuple[Column, Column]
     return last.getField("il"), last.getField("ilce")
 
 
+def repaired_building(tokens: Column, now: Column) -> Column:
+    """The first building word with the plain words among the two before it, if ``now`` is missing, bare or a number."""
+    at = F.array_min(F.transform(tokens, lambda w, i: F.when(w.isin(*TRIGGERS_P), i)))
+    word = F.get(tokens, at)
+    near = F.slice(tokens, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2)))
+    name = F.array_join(F.concat(F.filter(near, lambda w: w.rlike(rf"^[{LETTERS}-]+$") & ~w.isin("no", "daire", "kat", "mevkii", "il", "ilçe", "ilce")), F.array(word)), " ")
+    return F.when(at.isNotNull() & (now.isNull() | (now == word) | now.rlike("^(no|[0-9])")), name).otherwise(now)
+
+
 def repair(cleaned: Column, parts: Column, provinces: Sequence[str]) -> Column:
     """The postprocessor: numbers split, names taken from before their label, province from the tail, a new confidence."""
     tokens = F.split(cleaned, " ")
@@ -166,6 +177,7 @@ def repair(cleaned: Column, parts: Column, provinces: Sequence[str]) -> Column:
     before, after = window(tokens, "sokak", True)
     old = F.when(F.startswith(p["sokak"], F.lit("no")), numbered_street(cleaned)).otherwise(p["sokak"])
     p["sokak"] = F.when(before.rlike("^[0-9/]*[0-9][0-9/]*$"), before).when(after.isNotNull() & ~F.split_part(after, F.lit(" "), F.lit(1)).rlike("[0-9]"), after).otherwise(old)
+    p["bina_adi"] = repaired_building(tokens, p["bina_adi"])
     p["mevkii"] = F.coalesce(locality(cleaned), p["mevkii"])
     il, ilce = tail_city(tokens, provinces)
     p["il"], p["ilce"] = F.coalesce(il, p["il"]), F.when(il.isNotNull(), ilce).otherwise(p["ilce"])

@@ -129,3 +129,38 @@ def normalize(x: Column, config: NormalizeConfig = NormalizeConfig()) -> Column:
     if config.strip_punctuation:
         x = strip_punctuation(x)
     return collapse(x) if config.strip_extra_spaces else x
+
+
+#: Words that the token normalizers replace; a dotted word is looked up as it is, then without its dots.
+WORDS = {
+    "mah": "mahalle", "mh": "mahalle", "mah.": "mahalle", "mahallesi": "mahalle", "cad": "caddesi", "cd": "caddesi", "cad.": "caddesi", "cadd.": "caddesi", "caddesi": "caddesi",
+    "sk": "sokak", "sk.": "sokak", "sok": "sokak", "sok.": "sokak", "blv": "bulvarı", "blv.": "bulvarı", "bulv.": "bulvarı", "bulv": "bulvarı", "bulvari": "bulvarı", "bulvar": "bulvarı",
+    "no": "no", "no.": "no", "kat.": "kat", "daire": "daire", "dr.": "doktor",
+}
+#: What the inline normalizer knows besides.
+MORE_WORDS = {"mh.": "mahalle", "cd.": "caddesi", "sokağı": "sokak", "sokaği": "sokak"}
+#: What it doesn't know.
+LESS_WORDS = ("mh", "cd")
+
+
+def expand(tokens: Column, words: Mapping[str, str]) -> Column:
+    """Each token's replacement, if it or its form without outer dots has one."""
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.try_element_at(known, F.btrim(t, F.lit("."))), t))
+
+
+def _plain(x: Column) -> Column:
+    return F.regexp_replace(tr_lower(F.coalesce(x, F.lit(""))), r"(?U)[^\w\s/.,-]", " ")
+
+
+def address_tokens(x: Column) -> Column:
+    """Tokens of letters, digits, dots, slashes and dashes, abbreviations expanded."""
+    return expand(F.regexp_extract_all(collapse(_plain(x)), F.lit("[A-Za-zÇĞİÖŞÜçğıöşü0-9./-]+"), F.lit(0)), WORDS)
+
+
+def normalize_inline(x: Column) -> Column:
+    """The one-step normalizer: composed, lower case, runs of marks give their first, digits apart by a blank are joined."""
+    x = collapse(F.regexp_replace(_plain(nfkc(x)), "([.,/-])[.,/-]+", "$1"))
+    x = F.regexp_replace(x, r"(?<=\d)\s+(?=\d)", "")
+    words = {k: v for k, v in (WORDS | MORE_WORDS).items() if k not in LESS_WORDS}
+    return F.array_join(expand(F.split(x, " "), words), " ")

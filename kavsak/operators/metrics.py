@@ -34,3 +34,10 @@ def held_out(key: str, label: str, share: float) -> Column:
     w = Window.partitionBy(label)
     rank = F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
     return rank <= F.ceil(F.count("*").over(w) * share)
+
+
+def top_k(df: DataFrame, truth: str, scores: str, k: int = 3) -> DataFrame:
+    """Share of rows whose class, a position in the array of scores, is among the k highest; ties go to the lower class."""
+    own = F.get(F.col(scores), F.col(truth))
+    above = F.filter(scores, lambda s, i: (s > own) | ((s == own) & (i < F.col(truth))))
+    return df.agg(F.count("*").alias("n"), F.round(F.avg((own.isNotNull() & (F.size(above) < k)).cast("double")), 6).alias("accuracy"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
+from ..functions import scan as B
 from ..functions import text as T
 from ..operators import linkage as L
 from ..operators import metrics as M
@@ -303,6 +304,26 @@ def parse_a_post(t):
     return _struct(addresses(t).select("id", P.clean_a(F.col("text")).alias("t")), P.repair(F.col("t"), P.parse_a(F.col("t")), P.PROVINCES_C))
 
 
+@query()
+def parse_b(t):
+    return _struct(addresses(t).select("id", B.clean_b(F.col("text")).alias("t")), B.parse_b(F.col("t")))
+
+
+#: Without marks or digits side by side, both token normalizers come to this; I gives ı.
+EXPANDED = "replace(replace(regexp_replace(trim(replace(lower(replace(text, 'I', 'ı')), ':', ' ')), ' +', ' ', 'g'), 'mah.', 'mahalle'), 'cad.', 'caddesi')"
+
+
+# one nation's composed name ends in cd, which only this list of words expands
+@query("WITH {A} SELECT id, replace(%s, ' cd ', ' caddesi ') AS out FROM addr" % EXPANDED)
+def norm_tokens(t):
+    return addresses(t).select("id", F.array_join(T.address_tokens(F.col("text")), " ").alias("out"))
+
+
+@query("WITH {A} SELECT id, %s AS out FROM addr" % EXPANDED)
+def norm_inline(t):
+    return addresses(t).select("id", T.normalize_inline(F.col("text")).alias("out"))
+
+
 @query()
 def parse_c(t):
     return _struct(addresses(t).select("id", P.clean_c(F.col("text")).alias("t")), P.parse_c(F.col("t")))
@@ -481,6 +502,16 @@ def eval_multiclass_f(t):
     return M.multiclass(o, "t", "g")
 
 
+@query(
+    "WITH s AS (SELECT c_custkey, c_nationkey % 5 AS truth, k, (c_custkey * (k + 3) * 7919) % 1009 AS score FROM customer, (SELECT unnest(range(0, 5)) AS k)),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, k) AS place FROM s)"
+    " SELECT count(DISTINCT c_custkey) AS n, round(count(*) FILTER (k = truth AND place <= 3)::DOUBLE / count(DISTINCT c_custkey), 6) AS accuracy FROM r"
+)
+def eval_top3(t):
+    scores = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("c_custkey") * (k + 3) * 7919) % 1009)
+    return M.top_k(t("customer").select((F.col("c_nationkey") % 5).alias("truth"), scores.alias("scores")), "truth", "scores")
+
+
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1) % 3)::INT AS fold FROM orders")
 def cv_folds(t):
     o = t("orders")

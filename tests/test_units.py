@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kavsak.functions import parse as P
+from kavsak.functions import scan as B
 from kavsak.functions import text as T
 from kavsak.operators import linkage as L
 
@@ -53,6 +54,35 @@ def test_parsers(spark):
     assert {k: v for k, v in c.items() if v is not None} == {"mahalle": "atatürk", "no": "12", "daire": "3", "il": "istanbul", "confidence": 0.95}
 
 
+def parsed_b(spark, text):
+    clean = one(spark, B.clean_b(F.lit(text)))
+    return clean, {k: v for k, v in one(spark, B.parse_b(F.lit(clean))).asDict().items() if v is not None}
+
+
+def test_token_parser(spark):
+    assert parsed_b(spark, X) == ("örnek mahalle atatürk cadde no 12/3 daire 5 şişli istanbul", {"mahalle": "örnek", "cadde": "atatürk", "no": "12", "daire": "5", "il": "istanbul", "ilce": "şişli", "confidence": 0.9})
+    assert parsed_b(spark, "")[1] == {"confidence": 0.0}
+    # numbers belong to streets only; without a name before the word, the one after it counts
+    assert parsed_b(spark, "mahalle yeni 5 2001 sokak")[1] == {"mahalle": "yeni", "sokak": "yeni 5 2001", "confidence": 0.4}
+    # the last keyword wins, and the first flat after a slash
+    assert parsed_b(spark, "no 1/2 no 3/4 kat 5 kat x")[1] == {"no": "3", "daire": "2", "kat": "5", "confidence": 0.3}
+    # a slash stays beside a digit and then gives the district
+    assert parsed_b(spark, "5/muğla")[1] == {"il": "muğla", "ilce": "5", "confidence": 0.2}
+    assert parsed_b(spark, "a b c d apartman x mevkii")[1] == {"bina_adi": "apartman", "mevkii": "x", "confidence": 0.1}
+
+
+def test_token_normalizers(spark):
+    assert one(spark, T.address_tokens(F.lit("Örnek MAH. Gül cd No:5"))) == ["örnek", "mahalle", "gül", "caddesi", "no", "5"]
+    assert one(spark, T.normalize_inline(F.lit("Örnek mh. gül cadd. no: 1 2--3 dr. x"))) == "örnek mahalle gül caddesi no 12-3 doktor x"
+    assert one(spark, T.normalize_inline(F.lit(None).cast("string"))) == ""
+
+
+def test_building_repair(spark):
+    of = lambda text, now: one(spark, P.repaired_building(F.split(F.lit(text), " "), F.lit(now).cast("string")))
+    assert of("no 5 gül apartman", None) == "gül apartman" and of("kat gül apartman", "apartman") == "gül apartman"
+    assert of("gül apartman", "lale apartman") == "lale apartman" and of("x y", None) is None and of("apartman", "5 x") == "apartman"
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
