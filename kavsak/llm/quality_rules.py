@@ -28,8 +28,10 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumns({"_kv_w": word_array("text"), "_kv_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     w = F.col("_kv_w")
-    grams = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    df = df.withColumn("_kv_g", F.sort_array(grams))
+    df = df.withColumn("_kv_h", F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
+    grams = F.transform("_kv_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    # only texts in which a window repeats need them in order
+    df = df.withColumn("_kv_g", F.when(F.size(F.array_distinct("_kv_h")) < F.size("_kv_h"), F.sort_array(grams)).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)")))
     g = F.col("_kv_g")
     twice = F.filter(g, lambda x, i: F.coalesce(x.h == F.get(g, i - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(g, i + 1).h, F.lit(False)))
     df = df.withColumn("_kv_p", F.sort_array(F.transform(twice, lambda x: x.i)))
@@ -38,17 +40,18 @@ def measured(docs: DataFrame) -> DataFrame:
     measures = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long"),
         "n_lines": F.size("_kv_l"),
         "n_dup_lines": (F.size("_kv_l") - F.size(F.array_distinct("_kv_l"))).cast("long"),
         "n_repeat_words": repeat,
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
-        "n_marks": F.length(text) - F.length(F.translate(text, "!?", "")),
-        "n_digits": F.length(text) - F.length(F.translate(text, "0123456789", "")),
+        "n_marks": F.length(F.regexp_replace(text, r"[^!?]++", "")),
+        "n_digits": F.length(F.regexp_replace(text, r"[^0-9]++", "")),
         "n_stop": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
     }
+    df = df.withColumn("_kv_m", F.struct(*(v.alias(k) for k, v in measures.items())))
     # one row each through a generator: the optimizer doesn't copy the measures into the filters and votes above it
-    return df.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in measures.items())))).alias("_kv_q")).drop("_kv_w", "_kv_l", "_kv_g", "_kv_p")
+    return df.select("*", F.explode(F.array("_kv_m")).alias("_kv_q")).drop("_kv_w", "_kv_l", "_kv_h", "_kv_g", "_kv_p", "_kv_m")
 
 
 def rules(q: str = "_kv_q") -> dict[str, Column]:
