@@ -2,9 +2,10 @@
 
 Both models are bigram models of one form over one vocabulary: the ``vocabulary`` most frequent words of all documents,
 all others being one unknown word. Bigrams and words are counted exactly over all documents, for the background model all
-of them and for the target model those of ``target_ids``. The models share their bigrams too: those seen at least twice
-and, if these are more than ``most_pairs``, at least as often as keeps them within it, which bounds what is broadcast; the
-others are backed off to smoothed word counts with the mass that discounts set free. A document's score is the mean over
+of them and for the target model those of ``target_ids``. The models share their bigrams too: all those seen at least
+twice, however many. At most ``most_pairs`` of the most frequent are broadcast; the rarer ones are joined by a shuffle with
+the pairs that each row has left, so the scores don't depend on ``most_pairs``. Bigrams seen once are not kept, they
+are backed off to smoothed word counts with the mass that discounts set free. A document's score is the mean over
 its words of the target's loss less the background's, in nats: the lower, the closer to the target.
 
 Words are case-sensitive runs of non-blanks. Null and blank texts have no words and score 0. Repeated rows all count and
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,27 +95,42 @@ def _count_pairs(vocab, size: int):
 
 
 class Model:
-    """Absolutely discounted bigrams, backed off to words with a constant added."""
+    """Absolutely discounted bigrams, backed off to words with a constant added. ``freed``: discounted counts by history."""
 
-    def __init__(self, words: np.ndarray, keys: np.ndarray, counts: np.ndarray, starts: int):
-        size = len(words)
-        self.uni = (words + ADD) / (words.sum() + ADD * size)
+    def __init__(self, words: np.ndarray, starts: int, freed: np.ndarray):
+        self.size = len(words)
+        self.uni = (words + ADD) / (words.sum() + ADD * self.size)
         history = words.astype(float)
-        history[size - 1] = starts
-        kept = np.maximum(counts - DISCOUNT, 0)
-        self.own = kept / np.maximum(history[keys // size], 1)
-        self.rest = np.maximum(1 - np.bincount(keys // size, kept, size) / np.maximum(history, 1), 1e-9)
+        history[self.size - 1] = starts
+        self.history = np.maximum(history, 1)
+        self.rest = np.maximum(1 - freed / self.history, 1e-9)
 
-    def loss(self, ids: np.ndarray, before: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        return -np.log(np.where(hit, self.own[at] if len(self.own) else 0.0, 0.0) + self.rest[before] * self.uni[ids])
+    def own(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.maximum(count - DISCOUNT, 0) / self.history[pair // self.size]
+
+    def loss(self, pair: np.ndarray, own: np.ndarray | float) -> np.ndarray:
+        return -np.log(own + self.rest[pair // self.size] * self.uni[pair % self.size])
+
+
+def _cut(df: DataFrame, most: int) -> tuple[int, int, bool]:
+    """Powers of two ``least`` and ``below``: at most ``most`` rows have n >= least, and if any have less, more than ``most``
+    have n >= below; and whether any have less."""
+    total, least = 0, 1 << 62
+    for r in df.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect():
+        total += r["count"]
+        if total > most:
+            return least, 1 << r["b"], True
+        least = 1 << r["b"]
+    return least, 1, False
 
 
 def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Per row: doc_id, n_words, target_loss, background_loss (means a word) and ce_diff. ``target_ids`` has doc_id."""
     sc, size = docs.sparkSession.sparkContext, vocabulary + 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(vocabulary).select("w").toArrow()
+    words = materialise(docs.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    # the last merge of the limit gets few rows that are not taken
+    top = words.where(F.col("n") >= _cut(words, vocabulary)[1]).orderBy(F.desc("n"), "w").limit(vocabulary).select("w").toArrow()
     vocab = sc.broadcast(np.sort(top.column("w").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, _U))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(True))
     marked = docs.join(small(ids, BROADCAST_IDS), docs.doc_id == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(False)).alias("hit"))
@@ -121,37 +138,65 @@ def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABUL
     # starts of documents are the pairs after number size - 1; single pairs are backed off
     counts = materialise(counts.where(f"k < 0 or n > 1 or k >= {(size - 1) * size}"))
     starts = counts.where(f"k >= {(size - 1) * size}").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    total, least = 0, 2
-    for r in counts.where("k >= 0 and n > 1").select(F.least("n", F.lit(100_000)).alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect():
-        total += r["count"]
-        if total > most_pairs:
-            least = r["n"] + 1
-            break
-    table = counts.where(f"k < 0 or n >= {least}").toArrow()
+    kept = counts.where("k >= 0 and n > 1")
+    less = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(c)
+    freed = kept.groupBy(F.floor(F.col("k") / size).cast("int").alias("h")).agg(less("n"), less("m")).toArrow()
+    least, _, more = _cut(kept, most_pairs)
+    table = counts.where(f"k < 0 or (n > 1 and n >= {least})").toArrow()
     k, n, m = (table.column(c).to_numpy() for c in ("k", "n", "m"))
     order = np.argsort(k[k >= 0])
     keys = k[k >= 0][order]
-    models = []
-    for c, begun in ((n, starts[0]), (m, starts[1])):
-        one = np.zeros(size, np.int64)
+    models, owns = [], []
+    for c, begun, name in ((n, starts[0], "n"), (m, starts[1], "m")):
+        if name == "m" and not m[k < 0].any():
+            models.append(models[0])
+            owns.append(owns[0])
+            continue
+        one, free = np.zeros(size, np.int64), np.zeros(size)
         one[-1 - k[k < 0]] = c[k < 0]
-        models.append(Model(one, keys, c[k >= 0][order].astype(float), begun))
-    if not m.any():
-        models[1] = models[0]
-    shared = sc.broadcast((keys, models))
+        free[freed.column("h").to_numpy()] = freed.column(name).to_numpy()
+        models.append(Model(one, begun, free))
+        owns.append(models[-1].own(keys, c[k >= 0][order].astype(float)))
+    shared = sc.broadcast((keys, owns, models))
+    same = models[1] is models[0]
     del table, k, n, m
 
     def run(batches):
+        task, at_row = (TaskContext.get().partitionId() << 33), 0
         for rows, data, off in T.chunks(batches):
-            keys, models = shared.value
+            keys, owns, models = shared.value
             ids, first = ids_of(vocab.value, data, off)
             pair = pairs(ids, first, size)
             at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
             hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-            count, means = np.diff(first), []
-            for model in models:
-                total = np.append(0.0, np.cumsum(model.loss(ids, pair // size, at, hit)))
-                means.append((total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1))
-            yield pa.RecordBatch.from_arrays([T.column(rows, "doc_id"), T.long(count), pa.array(means[1]), pa.array(means[0]), pa.array(means[1] - means[0])], ["doc_id", "n_words", "target_loss", "background_loss", "ce_diff"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")
+            sums = []
+            for own, model in zip(owns, models):
+                total = np.append(0.0, np.cumsum(model.loss(pair, np.where(hit, own[at], 0.0) if len(own) else 0.0)))
+                sums.append(total[first[1:]] - total[first[:-1]])
+            # pairs to be looked up in what was not broadcast, counted by row
+            miss = np.flatnonzero(~hit) if more else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))[miss]
+            both, times = np.unique(owner * np.int64(size * size) + pair[miss].astype(np.int64), return_counts=True)
+            to = np.searchsorted(both // (size * size), np.arange(rows.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(to), T.long(x)) for x in (both % (size * size), times)]
+            yield pa.RecordBatch.from_arrays([T.long(task + at_row + np.arange(rows.num_rows)), T.column(rows, "doc_id"), T.long(np.diff(first)), pa.array(sums[1]), pa.array(sums[0]), *lists], ["row", "doc_id", "n_words", "t", "b", "pair", "times"])
+            at_row += rows.num_rows
+
+    def changes(batches):
+        """What a pair that was not broadcast changes in the losses."""
+        for batch in batches:
+            models = shared.value[2]
+            k, n, m = (T.column(batch, c).to_numpy() for c in ("k", "n", "m"))
+            b, t = (pa.array(model.loss(k, model.own(k, c)) - model.loss(k, 0.0)) for model, c in zip(models, (n, n if same else m)))
+            yield pa.RecordBatch.from_arrays([T.column(batch, "k"), t, b], ["k", "dt", "db"])
+
+    scored = docs.mapInArrow(run, "row long, doc_id long, n_words long, t double, b double, pair array<long>, times array<long>")
+    if more:
+        scored = materialise(scored)
+        rare = kept.where(f"n < {least}").mapInArrow(changes, "k long, dt double, db double")
+        wanted = scored.select("row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("row", F.col("x.pair").alias("k"), F.col("x.times").alias("c"))
+        found = wanted.join(rare, "k").groupBy("row").agg(F.sum(F.col("c") * F.col("dt")).alias("dt"), F.sum(F.col("c") * F.col("db")).alias("db"))
+        zero = F.lit(0.0)
+        scored = scored.drop("pair", "times").join(found, "row", "left").select("doc_id", "n_words", (F.col("t") + F.coalesce("dt", zero)).alias("t"), (F.col("b") + F.coalesce("db", zero)).alias("b"))
+    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
+    return scored.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))

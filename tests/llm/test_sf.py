@@ -118,6 +118,8 @@ def test_lm(spark, docs):
     target = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0")
     got = {r["doc_id"]: r for r in L.lm_scoring(spark.read.parquet(f"{SF}/documents.parquet"), target, vocabulary).collect()}
     assert len(got) == len(docs)
+    few = {r["doc_id"]: r for r in L.lm_scoring(spark.read.parquet(f"{SF}/documents.parquet"), target, vocabulary, most_pairs=200).collect()}
+    assert all(abs(few[d]["ce_diff"] - r["ce_diff"]) < 1e-9 and abs(few[d]["target_loss"] - r["target_loss"]) < 1e-9 for d, r in got.items())
     for d, t in docs[::7]:
         ws = brute.words(t)[:100] if len(brute.words(t)) <= 100 else None
         if ws is not None:
