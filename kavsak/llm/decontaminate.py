@@ -4,7 +4,8 @@ Items are indexed by term with BM25 impacts, divided by ``share`` of the item's
 serves all. Items lie in blocks; for each term the greatest impact in each block bounds what a passage can score there.
 Passages of ``passage`` words, half overlapping, query the index: passages whose bound over all blocks stays under 1 are
 skipped, then blocks whose bound does, and only in what is left impacts are added up. All items at or above the threshold
-are retrieved. A retrieved item counts as leaked into a document if the document holds at least ``question`` of the
+are retrieved. An item longer than a passage is indexed whole and also in parts of at most half a passage, each against
+its own score; one part retrieves it. A retrieved item counts as leaked into a document if the document holds at least ``question`` of the
 n-grams of its question (all but its last line, or its first four fifths) and ``answer`` of those of its answer.
 
 The index is broadcast; benchmarks over ``shard_items`` items or ``shard_bytes`` bytes are searched shard by shard, so what
@@ -45,26 +46,43 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(T.gram_hash(h, min(GRAM, len(h)))) if len(h) else h
 
 
-def build_index(items: list[tuple[int, str]], share: float = SHARE) -> dict | None:
+def _units(words: list[np.ndarray], passage: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What is retrieved: items, and of those longer than a passage also their parts; and the item of each."""
+    out, of = list(words), list(range(len(words)))
+    for i, w in enumerate(words):
+        if len(w) > passage:
+            # half a passage lies whole in one of the half overlapping passages
+            parts = np.array_split(w, -(-len(w) // max(1, passage // 2)))
+            out += parts
+            of += [i] * len(parts)
+    order = np.argsort(of, kind="stable")
+    return [out[k] for k in order], np.array(of)[order]
+
+
+def build_index(items: list[tuple[int, str]], share: float = SHARE, passage: int = PASSAGE) -> dict | None:
     items = [(i, *map(_hash_words, _parts(t))) for i, t in items if t and t.split()]
     if not items:
         return None
-    terms = [np.unique(np.concatenate([q, a]), return_counts=True) for _, q, a in items]
-    lengths = np.array([len(q) + len(a) for _, q, a in items], np.float64)
-    vocab, at = np.unique(np.concatenate([t for t, _ in terms]), return_inverse=True)
-    item = np.repeat(np.arange(len(items)), [len(t) for t, _ in terms])
-    tf = np.concatenate([c for _, c in terms]).astype(np.float64)
-    df = np.bincount(at, minlength=len(vocab))
+    whole = [np.concatenate([q, a]) for _, q, a in items]
+    vocab, df = np.unique(np.concatenate([np.unique(w) for w in whole]), return_counts=True)
     idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
-    own = np.bincount(item, impact)
-    impact = impact / (share * own[item])
-    n_blocks = min(BLOCKS, len(items))
-    block = item * n_blocks // len(items)
+    mean = np.mean([len(w) for w in whole])
+    units, of = _units(whole, passage)
+    terms = [np.unique(w, return_counts=True) for w in units]
+    lengths = np.array([len(w) for w in units], np.float64)
+    at = np.searchsorted(vocab, np.concatenate([t for t, _ in terms]))
+    unit = np.repeat(np.arange(len(units)), [len(t) for t, _ in terms])
+    tf = np.concatenate([c for _, c in terms]).astype(np.float64)
+    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[unit] / mean))
+    own = np.bincount(unit, impact)
+    impact = impact / (share * own[unit])
+    n_blocks = min(BLOCKS, len(units))
+    block = unit * n_blocks // len(units)
     bound = np.zeros((len(vocab) + 1, n_blocks), np.float32)
     np.maximum.at(bound, (at, block), impact.astype(np.float32))
     order = np.argsort(at, kind="stable")
-    return {"ids": [i for i, *_ in items], "grams": [(_grams(q), _grams(a)) for _, q, a in items], "vocab": vocab, "bound": bound, "item": item[order], "impact": impact[order], "block": block[order], "at": np.concatenate([[0], np.cumsum(df)])}
+    posts = np.bincount(at, minlength=len(vocab))
+    return {"ids": [i for i, *_ in items], "grams": [(_grams(q), _grams(a)) for _, q, a in items], "vocab": vocab, "bound": bound, "of": of, "unit": unit[order], "impact": impact[order], "block": block[order], "at": np.concatenate([[0], np.cumsum(posts)])}
 
 
 def retrieve(index: dict, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, passage: int) -> dict[tuple[int, int], float]:
@@ -90,10 +108,10 @@ def retrieve(index: dict, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, p
             query = np.unique(ids[start[some[i]] : stop[i]])
             posts = np.concatenate([np.arange(index["at"][t], index["at"][t + 1]) for t in query])
             posts = posts[blocks[index["block"][posts]]]
-            which, inverse = np.unique(index["item"][posts], return_inverse=True)
+            which, inverse = np.unique(index["unit"][posts], return_inverse=True)
             score = np.bincount(inverse, index["impact"][posts])
             for k in np.flatnonzero(score >= 1):
-                key = (int(doc[start[some[i]]]), int(which[k]))
+                key = (int(doc[start[some[i]]]), int(index["of"][which[k]]))
                 found[key] = max(found.get(key, 0.0), float(score[k]))
     return found
 
@@ -137,11 +155,11 @@ def _shards(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i) for i in range(k)] if k > 1 else [items]
 
 
-def _indexes(benchmark: DataFrame, share: float):
+def _indexes(benchmark: DataFrame, share: float, passage: int):
     sc = benchmark.sparkSession.sparkContext
     for shard in _shards(benchmark):
         items = sorted(((r["item_id"], r["text"]) for r in shard.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
-        index = build_index(items, share)
+        index = build_index(items, share, passage)
         if index:
             index["sizes"] = [tuple(map(len, _parts(t))) for _, t in items if t and t.split()]
             yield sc.broadcast(index)
@@ -152,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, share:
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in _indexes(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), share):
+    for index in _indexes(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), share, passage):
 
         def run(batches, index=index):
             for rows, data, off in T.chunks(batches):
@@ -169,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, share:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, share: float = SHARE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with its columns; nothing is shuffled."""
-    for index in _indexes(benchmark, share):
+    for index in _indexes(benchmark, share, passage):
 
         def run(batches, index=index):
             for rows, data, off in T.chunks(batches):

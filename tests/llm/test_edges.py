@@ -133,6 +133,21 @@ def test_leaks(spark, docs, empty):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {4, 5, 6, 7, 8, 9, 10, 12, 13, 14}
 
 
+def test_leaks_of_long_items(spark):
+    from kavsak.llm.decontaminate import keep_clean, leaks
+
+    item = lambda k, n: " ".join(f"i{k}x{j}" for j in range(n))
+    long = {1: item(1, 400), 2: item(2, 300) + "\n" + item(9, 100), 3: item(3, 129), 4: item(4, 65), 5: item(5, 40)}
+    bench = spark.createDataFrame(list(long.items()), "item_id long, text string")
+    around = text_of(7, 90)
+    # an item whole; whole at another place; most of one; a fifth of it, which is no leak
+    table = [(k, around + " " + t + " " + around) for k, t in long.items()] + [(10 + k, text_of(8, 7 * k) + " " + t) for k, t in long.items()]
+    table += [(21, around + " " + " ".join(item(1, 400).split()[:370])), (31, around + " " + " ".join(item(1, 400).split()[:80]))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(leaks(docs, bench), "doc_id", "item_id") == Counter([(k, k) for k in long] + [(10 + k, k) for k in long] + [(21, 1)])
+    assert [r["doc_id"] for r in keep_clean(docs, bench).collect()] == [31]
+
+
 def test_mixing(docs, empty):
     from kavsak.llm.mixing import mixed, takes
 
