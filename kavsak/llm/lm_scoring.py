@@ -1,16 +1,16 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models are bigram models of one form over one vocabulary: the ``vocabulary`` most frequent words of all documents,
-all others being one unknown word. Bigrams and words are counted exactly over all documents, for the background model all
-of them and for the target model those of ``target_ids``. The models share their bigrams too: all those seen at least
-twice, however many. At most ``most_pairs`` of the most frequent are broadcast; the rarer ones are joined by a shuffle with
-the pairs that each row has left, so the scores don't depend on ``most_pairs``. Bigrams seen once are not kept, they
+Both models are bigram models of one form over one vocabulary: all words of all documents, however rare. Bigrams and words
+are counted exactly over all documents, for the background model all of them and for the target model those of
+``target_ids``. The models share their bigrams too: all those seen at least twice, however many. At most ``vocabulary``
+of the most frequent words and ``most_pairs`` of the most frequent bigrams are broadcast; the rarer ones are joined by a
+shuffle with what each row has left, so the scores don't depend on either. Bigrams seen once are not kept, they
 are backed off to smoothed word counts with the mass that discounts set free. A document's score is the mean over
 its words of the target's loss less the background's, in nats: the lower, the closer to the target.
 
-Words are case-sensitive runs of non-blanks. Null and blank texts have no words and score 0. Repeated rows all count and
-score alike. Extra columns are ignored. With no target document the two models are the same and all scores are 0. An
-empty table gives an empty result.
+Words are case-sensitive runs of non-blanks; they and bigrams are told apart by 64-bit hashes. Null and blank texts have
+no words and score 0. Repeated rows all count and score alike. Extra columns are ignored. With no target document the two
+models are the same and all scores are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -28,88 +28,50 @@ VOCABULARY, MOST_PAIRS, DISCOUNT, ADD = 1 << 14, 1 << 20, 0.75, 0.5
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
+#: What stands before a document's first word, and in place of the word before where words are counted.
+START, WORD = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], _U)
 
 
-def _count_words(batches):
-    """Words of several chunks are combined before they leave."""
-    held: list[np.ndarray] = []
-    for _, data, off in T.chunks(batches):
-        starts, ends, _ = T.words(data, off)
-        held.append(T.word_hash(data, starts, ends))
-        if sum(map(len, held)) > 4_000_000:
-            yield from _counted(held)
-            held = []
-    yield from _counted(held)
-
-
-def _counted(held: list[np.ndarray]):
-    if held and sum(map(len, held)):
-        w, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([T.long(w), T.long(n)], ["w", "n"])
-
-
-def ids_of(vocab: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers of words (the unknown word is 0) and each document's first word."""
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, of the words before them, and each document's first word."""
     starts, ends, first = T.words(data, off)
     w = T.word_hash(data, starts, ends)
-    if not len(vocab):
-        return np.zeros(len(w), np.int64), first
-    at = np.minimum(np.searchsorted(vocab, w), len(vocab) - 1)
-    return np.where(vocab[at] == w, at + 1, 0), first
+    before = np.concatenate([w[:1], w[:-1]])
+    before[first[:-1][np.diff(first) > 0]] = START
+    return w, before, first
 
 
-def pairs(ids: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Each word with the one before it in its document, as one number; a document starts after number ``size`` - 1."""
-    before = np.concatenate([[0], ids[:-1]])[: len(ids)]
-    before[first[:-1][np.diff(first) > 0]] = size - 1
-    return before * size + ids
+def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return T.mix(T.mix(before) * _U(0x9E3779B97F4A7C15) ^ w)
 
 
-def _count_pairs(vocab, size: int):
-    """(k, n, m): how often k occurs in all and in target documents. k: a pair, or -1 - word."""
+def _count(batches):
+    """(h, w, n, m): how often w follows h in all and in target documents; h is WORD where w is counted whatever is before
+    it, and then START counts documents with words."""
 
-    def out(keys: np.ndarray, hit: np.ndarray):
-        k, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-        m = np.bincount(at, hit, len(k)).astype(np.int64)
-        for part in range(0, len(k), 200_000):
+    def out(keys: np.ndarray, h: np.ndarray, w: np.ndarray, hit: np.ndarray):
+        _, where, at, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        m = np.bincount(at, hit, len(n)).astype(np.int64)
+        for part in range(0, len(n), 200_000):
             cut = slice(part, part + 200_000)
-            yield pa.RecordBatch.from_arrays([T.long(k[cut]), T.long(n[cut]), T.long(m[cut])], ["k", "n", "m"])
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        words = np.zeros((size, 2), np.int64)
-        for rows, data, off in T.chunks(batches):
-            ids, first = ids_of(vocab.value, data, off)
-            hit = np.repeat(T.column(rows, "hit").to_numpy(zero_copy_only=False).astype(np.int8), np.diff(first))
-            words += np.stack([np.bincount(ids, minlength=size), np.bincount(ids, hit, size).astype(np.int64)], 1)
-            held.append((pairs(ids, first, size), hit))
-            if sum(len(k) for k, _ in held) > 3_000_000:
-                yield from out(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-        if held:
-            yield from out(*(np.concatenate(x) for x in zip(*held)))
-        seen = np.flatnonzero(words[:, 0])
-        yield pa.RecordBatch.from_arrays([T.long(-1 - seen), T.long(words[seen, 0]), T.long(words[seen, 1])], ["k", "n", "m"])
-
-    return run
-
-
-class Model:
-    """Absolutely discounted bigrams, backed off to words with a constant added. ``freed``: discounted counts by history."""
-
-    def __init__(self, words: np.ndarray, starts: int, freed: np.ndarray):
-        self.size = len(words)
-        self.uni = (words + ADD) / (words.sum() + ADD * self.size)
-        history = words.astype(float)
-        history[self.size - 1] = starts
-        self.history = np.maximum(history, 1)
-        self.rest = np.maximum(1 - freed / self.history, 1e-9)
-
-    def own(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.maximum(count - DISCOUNT, 0) / self.history[pair // self.size]
-
-    def loss(self, pair: np.ndarray, own: np.ndarray | float) -> np.ndarray:
-        return -np.log(own + self.rest[pair // self.size] * self.uni[pair % self.size])
+            yield pa.RecordBatch.from_arrays([T.long(h[where[cut]]), T.long(w[where[cut]]), T.long(n[cut]), T.long(m[cut])], ["h", "w", "n", "m"])
+
+    def counted(held):
+        h, w, hit = (np.concatenate(x) for x in zip(*held))
+        yield from out(pair_hash(h, w), h, w, hit)
+        begun = h == START
+        w, hit = np.append(w, h[begun]), np.append(hit, hit[begun])
+        yield from out(w, np.full(len(w), WORD), w, hit)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for rows, data, off in T.chunks(batches):
+        w, before, first = words_of(data, off)
+        held.append((before, w, np.repeat(T.column(rows, "hit").to_numpy(zero_copy_only=False).astype(np.int8), np.diff(first))))
+        if sum(len(w) for w, *_ in held) > 2_000_000:
+            yield from counted(held)
+            held = []
+    if held:
+        yield from counted(held)
 
 
 def _cut(df: DataFrame, most: int) -> tuple[int, int, bool]:
@@ -124,79 +86,143 @@ def _cut(df: DataFrame, most: int) -> tuple[int, int, bool]:
     return least, 1, False
 
 
+def _word_losses(words: DataFrame, kept: DataFrame) -> tuple[DataFrame, bool]:
+    """Per word, START too: w, n, hn and hm (its counts as history), tu and bu (losses as a word that is backed off), tr and
+    br (those of backing off after it), for target and background; and whether the models are the same."""
+    size, total, some = words.where(F.col("w") != _signed(START)).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    size, same = size + 2, not some
+    less = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias("f" + c)
+    freed = kept.groupBy(F.col("h").alias("w")).agg(less("n"), less("m"))
+    uni = lambda c, all_: -F.log((F.col(c) + ADD) / (all_ + ADD * size))
+    rest = lambda c: -F.log(F.greatest(1 - F.coalesce("f" + c, F.lit(0.0)) / F.greatest(c, F.lit(1)), F.lit(1e-9)))
+    t, all_ = ("n", total) if same else ("m", some)
+    cols = {"hn": F.greatest("n", F.lit(1)), "hm": F.greatest(t, F.lit(1)), "tu": uni(t, all_), "bu": uni("n", total), "tr": rest(t), "br": rest("n")}
+    return materialise(words.join(freed, "w", "left").select("w", "n", *(c.alias(k) for k, c in cols.items()))), same
+
+
+def _signed(x) -> Column:
+    return F.lit(int(np.array([x], _U).view(np.int64)[0]))
+
+
+def _pair_changes(kept: DataFrame, top: DataFrame, rare: DataFrame | None, same: bool) -> DataFrame:
+    """(k, n, dt, db): what each kept pair changes in the losses of backing off. Frequent words are found by broadcast, and
+    only pairs with a rare one are shuffled."""
+    left, right = ("hn", "hm", "tr", "br"), ("tu", "bu")
+    one = lambda df, key, cols, mark: df.select(F.col("w").alias(key), *(F.col(c).alias(mark + c) for c in cols))
+    every = kept.join(F.broadcast(one(top, "h", left, "")), "h", "left").join(F.broadcast(one(top, "w", right, "")), "w", "left")
+    known = every.where("tr is not null and tu is not null")
+    if rare is not None:
+        rest = every.where("tr is null or tu is null")
+        for key, cols in (("h", left), ("w", right)):
+            # those found already are dealt out at random, not all to one task
+            found = F.col(cols[-1]).isNotNull()
+            rest = rest.withColumn("x", F.when(found, F.xxhash64("h", "w")).otherwise(F.col(key))).join(one(rare, "x", cols, "r_"), "x", "left")
+            rest = rest.select(*(c for c in every.columns if c not in cols), *(F.coalesce(c, "r_" + c).alias(c) for c in cols))
+        known = known.unionByName(rest)
+
+    def run(batches):
+        for batch in batches:
+            h, w, n, m, hn, hm, tr, br, tu, bu = (T.column(batch, c).to_numpy() for c in ("h", "w", "n", "m", *left, *right))
+            key = pair_hash(h.view(_U), w.view(_U))
+            dt, db = (-np.log1p(np.maximum(c - DISCOUNT, 0) / many * np.exp(r + u)) for c, many, r, u in ((n if same else m, hm, tr, tu), (n, hn, br, bu)))
+            yield pa.RecordBatch.from_arrays([T.long(key), T.long(n), pa.array(dt), pa.array(db)], ["k", "n", "dt", "db"])
+
+    return materialise(known.select("h", "w", "n", "m", *left, *right).mapInArrow(run, "k long, n long, dt double, db double"))
+
+
+def _sorted(df: DataFrame, key: str, *cols: str) -> tuple[np.ndarray, ...]:
+    table = df.select(key, *cols).toArrow()
+    k = table.column(key).to_numpy().view(_U)
+    order = np.argsort(k)
+    return (k[order], *(table.column(c).to_numpy()[order] for c in cols))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` is in the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _last(w: np.ndarray) -> np.ndarray:
+    """Key of a rare word at the end of a document, where it is no history."""
+    return T.mix(w ^ _U(0xA0761D6478BD642F))
+
+
 def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Per row: doc_id, n_words, target_loss, background_loss (means a word) and ce_diff. ``target_ids`` has doc_id."""
-    sc, size = docs.sparkSession.sparkContext, vocabulary + 2
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = materialise(docs.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    # the last merge of the limit gets few rows that are not taken
-    top = words.where(F.col("n") >= _cut(words, vocabulary)[1]).orderBy(F.desc("n"), "w").limit(vocabulary).select("w").toArrow()
-    vocab = sc.broadcast(np.sort(top.column("w").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, _U))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(True))
     marked = docs.join(small(ids, BROADCAST_IDS), docs.doc_id == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(False)).alias("hit"))
-    counts = marked.mapInArrow(_count_pairs(vocab, size), "k long, n long, m long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    # starts of documents are the pairs after number size - 1; single pairs are backed off
-    counts = materialise(counts.where(f"k < 0 or n > 1 or k >= {(size - 1) * size}"))
-    starts = counts.where(f"k >= {(size - 1) * size}").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    kept = counts.where("k >= 0 and n > 1")
-    less = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(c)
-    freed = kept.groupBy(F.floor(F.col("k") / size).cast("int").alias("h")).agg(less("n"), less("m")).toArrow()
-    least, _, more = _cut(kept, most_pairs)
-    table = counts.where(f"k < 0 or (n > 1 and n >= {least})").toArrow()
-    k, n, m = (table.column(c).to_numpy() for c in ("k", "n", "m"))
-    order = np.argsort(k[k >= 0])
-    keys = k[k >= 0][order]
-    models, owns = [], []
-    for c, begun, name in ((n, starts[0], "n"), (m, starts[1], "m")):
-        if name == "m" and not m[k < 0].any():
-            models.append(models[0])
-            owns.append(owns[0])
-            continue
-        one, free = np.zeros(size, np.int64), np.zeros(size)
-        one[-1 - k[k < 0]] = c[k < 0]
-        free[freed.column("h").to_numpy()] = freed.column(name).to_numpy()
-        models.append(Model(one, begun, free))
-        owns.append(models[-1].own(keys, c[k >= 0][order].astype(float)))
-    shared = sc.broadcast((keys, owns, models))
-    same = models[1] is models[0]
-    del table, k, n, m
+    counts = marked.mapInArrow(_count, "h long, w long, n long, m long").groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # single pairs are backed off
+    is_word = F.col("h") == _signed(WORD)
+    counts = materialise(counts.where(is_word | (F.col("n") > 1)))
+    kept = counts.where(~is_word)
+    words, same = _word_losses(counts.where(is_word).drop("h"), kept)
+    is_start = F.col("w") == _signed(START)
+    least, _, more_words = _cut(words.where(~is_start), vocabulary)
+    often = is_start | (F.col("n") >= least)
+    rare = words.where(~often) if more_words else None
+    changes = _pair_changes(kept, words.where(often), rare, same)
+    least_pair, _, more_pairs = _cut(changes, most_pairs)
+    more = more_words or more_pairs
+    shared = sc.broadcast((_sorted(words.where(often), "w", "tu", "bu", "tr", "br"), _sorted(changes.where(F.col("n") >= least_pair), "k", "dt", "db")))
 
     def run(batches):
         task, at_row = (TaskContext.get().partitionId() << 33), 0
         for rows, data, off in T.chunks(batches):
-            keys, owns, models = shared.value
-            ids, first = ids_of(vocab.value, data, off)
-            pair = pairs(ids, first, size)
-            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-            hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+            (vocab, *uni_rest), (keys, *change) = shared.value
+            w, before, first = words_of(data, off)
+            pair = pair_hash(before, w)
+            word_at, known = _find(vocab, w)
+            at, hit = _find(keys, pair)
+            begins = first[:-1][np.diff(first) > 0]
+            start_at, started = _find(vocab, np.array([START]))
             sums = []
-            for own, model in zip(owns, models):
-                total = np.append(0.0, np.cumsum(model.loss(pair, np.where(hit, own[at], 0.0) if len(own) else 0.0)))
+            for uni, rest, delta in zip(uni_rest[:2], uni_rest[2:], change):
+                after = np.where(known, rest[word_at], 0.0) if len(vocab) else np.zeros(len(w))
+                loss = np.where(known, uni[word_at], 0.0) if len(vocab) else np.zeros(len(w))
+                loss[1:] += after[:-1]
+                loss[begins[begins > 0]] -= after[begins[begins > 0] - 1]
+                loss[begins] += rest[start_at[0]] if started[0] else 0.0
+                if len(keys):
+                    loss += np.where(hit, delta[at], 0.0)
+                total = np.append(0.0, np.cumsum(loss))
                 sums.append(total[first[1:]] - total[first[:-1]])
-            # pairs to be looked up in what was not broadcast, counted by row
-            miss = np.flatnonzero(~hit) if more else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))[miss]
-            both, times = np.unique(owner * np.int64(size * size) + pair[miss].astype(np.int64), return_counts=True)
-            to = np.searchsorted(both // (size * size), np.arange(rows.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(to), T.long(x)) for x in (both % (size * size), times)]
-            yield pa.RecordBatch.from_arrays([T.long(task + at_row + np.arange(rows.num_rows)), T.column(rows, "doc_id"), T.long(np.diff(first)), pa.array(sums[1]), pa.array(sums[0]), *lists], ["row", "doc_id", "n_words", "t", "b", "pair", "times"])
+            # pairs and words to be looked up in what was not broadcast, counted by row
+            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
+            lacks, ends = (np.zeros(0, np.int64),) * 2
+            miss = np.flatnonzero(~hit) if more_pairs else lacks
+            if more_words:
+                lacks, ends = np.flatnonzero(~known), first[1:][np.diff(first) > 0] - 1
+                ends = ends[~known[ends]]
+            of, key = np.concatenate([owner[miss], owner[lacks], owner[ends]]), np.concatenate([pair[miss], w[lacks], _last(w[ends])])
+            order = np.lexsort((key, of))
+            of, key = of[order], key[order]
+            new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])[: len(of)])
+            times = np.diff(np.append(new, len(of)))
+            to = np.searchsorted(of[new], np.arange(rows.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(to), T.long(x)) for x in (key[new], times)]
+            yield pa.RecordBatch.from_arrays([T.long(task + at_row + np.arange(rows.num_rows)), T.column(rows, "doc_id"), T.long(np.diff(first)), pa.array(sums[0]), pa.array(sums[1]), *lists], ["row", "doc_id", "n_words", "t", "b", "key", "times"])
             at_row += rows.num_rows
 
-    def changes(batches):
-        """What a pair that was not broadcast changes in the losses."""
+    def of_words(batches):
         for batch in batches:
-            models = shared.value[2]
-            k, n, m = (T.column(batch, c).to_numpy() for c in ("k", "n", "m"))
-            b, t = (pa.array(model.loss(k, model.own(k, c)) - model.loss(k, 0.0)) for model, c in zip(models, (n, n if same else m)))
-            yield pa.RecordBatch.from_arrays([T.column(batch, "k"), t, b], ["k", "dt", "db"])
+            w, tu, bu, tr, br = (T.column(batch, c).to_numpy() for c in ("w", "tu", "bu", "tr", "br"))
+            yield pa.RecordBatch.from_arrays([T.long(np.append(w, _last(w.view(_U)).view(np.int64))), pa.array(np.append(tu + tr, -tr)), pa.array(np.append(bu + br, -br))], ["k", "dt", "db"])
 
-    scored = docs.mapInArrow(run, "row long, doc_id long, n_words long, t double, b double, pair array<long>, times array<long>")
+    scored = docs.mapInArrow(run, "row long, doc_id long, n_words long, t double, b double, key array<long>, times array<long>")
     if more:
         scored = materialise(scored)
-        rare = kept.where(f"n < {least}").mapInArrow(changes, "k long, dt double, db double")
-        wanted = scored.select("row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("row", F.col("x.pair").alias("k"), F.col("x.times").alias("c"))
-        found = wanted.join(rare, "k").groupBy("row").agg(F.sum(F.col("c") * F.col("dt")).alias("dt"), F.sum(F.col("c") * F.col("db")).alias("db"))
+        left = changes.where(F.col("n") < least_pair).select("k", "dt", "db")
+        if more_words:
+            left = left.union(rare.select("w", "tu", "bu", "tr", "br").mapInArrow(of_words, "k long, dt double, db double"))
+        wanted = scored.select("row", F.explode(F.arrays_zip("key", "times")).alias("x")).select("row", F.col("x.key").alias("k"), F.col("x.times").alias("c"))
+        found = wanted.join(left, "k").groupBy("row").agg(F.sum(F.col("c") * F.col("dt")).alias("dt"), F.sum(F.col("c") * F.col("db")).alias("db"))
         zero = F.lit(0.0)
-        scored = scored.drop("pair", "times").join(found, "row", "left").select("doc_id", "n_words", (F.col("t") + F.coalesce("dt", zero)).alias("t"), (F.col("b") + F.coalesce("db", zero)).alias("b"))
+        scored = scored.drop("key", "times").join(found, "row", "left").select("doc_id", "n_words", (F.col("t") + F.coalesce("dt", zero)).alias("t"), (F.col("b") + F.coalesce("db", zero)).alias("b"))
     mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
     return scored.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))

@@ -126,6 +126,18 @@ def test_lm(spark, docs):
             assert abs(loss(some, ws) - loss(every, ws) - got[d]["ce_diff"]) < 1e-6
 
 
+def test_lm_keeps_rare_words(spark):
+    """The vocabulary broadcast changes no score: rarer words are joined, not merged into one."""
+    from kavsak.llm import lm_scoring as L
+
+    docs, target = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0")
+    full = {r["doc_id"]: r for r in L.lm_scoring(docs, target, 1 << 20).collect()}
+    for most, pairs in ((50, 1 << 20), (50, 30), (0, 0)):
+        got = {r["doc_id"]: r for r in L.lm_scoring(docs, target, most, pairs).collect()}
+        assert got.keys() == full.keys()
+        assert all(abs(r[c] - full[d][c]) < 1e-9 for d, r in got.items() for c in ("n_words", "target_loss", "background_loss", "ce_diff"))
+
+
 def measured(spark, name, label, n, held):
     got = {r["doc_id"]: r for r in run(spark, name, "/root/testdata/sf0.1").collect()}
     truth = [(r["doc_id"], r[label]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["doc_id"] in got]
