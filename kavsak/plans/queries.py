@@ -130,6 +130,12 @@ def link_unblocked(t):
     return L.scored(L.candidates(left, F.broadcast(right.where("id <= 20")), ""), "levenshtein", WEIGHTS, 95.0).select("left_id", "right_id", "score")
 
 
+@query("WITH {S} SELECT left_id, right_id, score FROM (SELECT l.id AS left_id, r.id AS right_id, round((%s * 0.8 + %s * 0.15) / 0.95, 2) AS score FROM l CROSS JOIN r) WHERE score >= 95" % (RATIO, DIGITS))
+def link_unblocked_all(t):
+    left, right = sides(t)
+    return L.scored(L.candidates(left, F.broadcast(right), ""), "levenshtein", WEIGHTS, 95.0).select("left_id", "right_id", "score")
+
+
 STOPS = ("mah.", "cad.", "kat", "nation")
 
 

@@ -39,3 +39,14 @@ def test_query(spark, duck, name):
     want = sorted((tuple(norm(dict(zip(names, r))[c]) for c in cols) for r in rel.fetchall()), key=repr)
     assert sorted(names) == cols and len(got) == len(want)
     assert got == want
+
+
+def test_unblocked_reaches_every_supplier(spark):
+    """Against all pairs by DuckDB, on data with suppliers beyond the first twenty."""
+    sf, name = "/root/testdata/sf0.01", "link_unblocked_all"
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = sorted(con.execute(plans.oracle_sql()[name]).fetchall())
+    got = sorted(map(tuple, plans.queries()[name](spark, sf).collect()))
+    assert got == want and max(right for _, right, _ in got) > 20
