@@ -240,6 +240,11 @@ def parse_building_none(t):
     return cleaned(t).where("id % 4 <> 1").select("id", P.building(F.col("t"), P.TRIGGERS_A).alias("x")).where("x IS NOT NULL")
 
 
+@query()
+def parse_building(t):
+    return cleaned(t).select("id", P.building(F.col("t"), P.TRIGGERS_A).alias("x"))
+
+
 @query("WITH {P} SELECT id, CASE id % 3 WHEN 0 THEN 'izmir' WHEN 1 THEN 'ankara' ELSE 'bursa' END AS il, CASE id % 3 WHEN 0 THEN 'bodrum' WHEN 1 THEN 'konak' END AS ilce FROM clean")
 def parse_city(t):
     x = F.col("t")
@@ -252,6 +257,12 @@ def city_tail(t):
     return cleaned(t).select("id", F.when(F.col("id") % 3 == 2, il).alias("il"), F.when(F.col("id") % 3 == 2, ilce).alias("ilce"))
 
 
+@query()
+def city_tail_all(t):
+    il, ilce = P.tail_city(F.split("t", " "), ("izmir", "ankara", "bursa"))
+    return cleaned(t).select("id", il.alias("il"), ilce.alias("ilce"))
+
+
 def numbered_parts(t) -> DataFrame:
     """Only what regular expressions of both dialects can find."""
     x = F.col("t")

@@ -1,5 +1,7 @@
 """Every query of the library against its SQL, run by DuckDB on the smallest data."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -50,3 +52,37 @@ def test_unblocked_reaches_every_supplier(spark):
     want = sorted(con.execute(plans.oracle_sql()[name]).fetchall())
     got = sorted(map(tuple, plans.queries()[name](spark, sf).collect()))
     assert got == want and max(right for _, right, _ in got) > 20
+
+
+def building(t):
+    m = re.search(r"\b(apartman|residence|rezidans|blok|işhanı|iş hanı|plaza|hotel|otel)\b", t)
+    if not m:
+        return None
+    name = " ".join([*re.findall(r"[a-zğüşiöç\-]+", t[: m.start()])[-2:], m[1]])
+    return re.sub(r"^\d+[a-z]?\s*", "", re.sub(r"^\bno\b\s*\d+[a-z]?/?\d*\s*", "", name).strip()).strip() or None
+
+
+def tail(t, provinces=("izmir", "ankara", "bursa")):
+    last = t.split(" ")[-8:]
+    for a, b in reversed(list(zip(last, last[1:]))):
+        if all(re.fullmatch("[a-zçğıöşü]+", w) for w in (a, b)) and b in provinces and a not in provinces:
+            return b, a
+    return None, None
+
+
+def test_buildings_and_tails_of_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from kavsak.functions import parse as P
+    from kavsak.plans.queries import cleaned
+
+    t = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    texts = {r["id"]: r["t"] for r in cleaned(t).collect()}
+    found = {r["id"]: r["x"] for r in plans.queries()["parse_building"](spark, SF).collect()}
+    assert found == {i: building(x) for i, x in texts.items()}
+    assert all((x is not None) == (i % 4 == 1) for i, x in found.items()) and any(found.values())
+    ends = {r["id"]: (r["il"], r["ilce"]) for r in plans.queries()["city_tail_all"](spark, SF).collect()}
+    assert ends == {i: tail(x) for i, x in texts.items()} and any(il for il, _ in ends.values())
+    more = ["yeni gul apartman", "no 12 apartman", "apartman", "a b c d plaza e otel", "kat 3 iş hanı", "x", ""]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(more)), "i int, t string").select("i", P.building(F.col("t"), P.TRIGGERS_A).alias("x")).orderBy("i").collect()]
+    assert got == [building(x) for x in more]
