@@ -23,12 +23,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read again: later steps don't repeat the work, and a lost executor loses nothing."""
+#: With it, Spark drops a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, *consumed: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read again: later steps don't repeat the work, and a lost executor loses nothing.
+
+    The shuffles that led to it are dropped at once, and so is ``consumed``: written frames that nothing else reads.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kavsak/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for old in consumed:
+        forget(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kv_path = path
+    return out
+
+
+def forget(written: DataFrame) -> None:
+    """Delete the files of a frame from ``materialise``; frames that read them can't be used any more."""
+    path = getattr(written, "_kv_path", None)
+    if path:
+        spark = written.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def word_array(text: str | Column) -> Column:
@@ -56,7 +81,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialise(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        cur = materialise(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), cur)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -1,12 +1,15 @@
 """Quality rules combined by weak supervision, with DataFrame functions only.
 
-Each rule votes to keep (1) or reject (-1) a document or abstains (0). Expectation-maximisation over the counts of vote
-patterns (at most 3^rules of them, whatever the input) estimates how often each rule votes what on good and on bad
-documents, and the share of good ones; the posterior probability of being good then decides in place of all-must-pass.
+Each rule votes to keep (1) or reject (-1) a document or abstains (0). Passing a check that nearly all texts pass is no
+sign of quality, so most rules only reject or abstain; rules that measure the same thing vote as one. Expectation-
+maximisation over the counts of vote patterns (at most 3^rules of them, whatever the input) estimates how often each rule
+casts which vote on good and on bad documents, and the share of good ones; an abstention says nothing. Each rule begins
+with, and is held near, the belief that four of five of its votes are right: ``trust`` imagined votes, a share of all
+documents, stand for that. The posterior probability of being good then decides in place of all-must-pass.
 
 Null texts count as empty: no words, so they fail the base rule (fewer than ``min_words``). Repeated rows vote alike and
 all count. Extra columns pass through in ``keep`` and are ignored in ``score``. With an empty table, nothing is learned
-and nothing returned. If all documents vote alike the priors decide.
+and nothing returned. A document on which all rules abstain has the prior probability, and so stays.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from ._spark import materialise, word_array
 
 MIN_WORDS, MAX_REPEAT = 50, 50
+#: Share of good documents to begin with; imagined votes of a rule, as a share of all documents.
+PRIOR, TRUST = 0.85, 0.02
 #: Frequent words of the languages met in the corpus.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "was", "der", "die", "das", "und", "von", "den", "mit", "ist", "le", "la", "les", "de", "des", "et", "un", "en", "que", "el", "los", "y", "se", "du")
 
@@ -55,50 +60,44 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def rules(q: str = "_kv_q") -> dict[str, Column]:
-    """Votes: each compares a share with a limit for keeping and one for rejecting; between them it abstains."""
+    """Votes: each compares shares with its limits."""
     c = lambda x: F.col(f"{q}.{x}")
     share = lambda a, b: F.coalesce(F.try_divide(c(a), c(b)), F.lit(0.0))
-    low = lambda x, keep, reject: F.when(x >= reject, -1).when(x <= keep, 1).otherwise(0)
-    mean = share("word_chars", "n_words")
+    reject = lambda x: F.when(x, -1).otherwise(0)
+    mean, stops = share("word_chars", "n_words"), share("n_stop", "n_words")
     return {
-        "length": F.when(c("n_words") < 50, -1).when(c("n_words") >= 100, 1).otherwise(0),
-        "symbols": low(share("n_symbols", "n_words"), 0.02, 0.10),
-        "lines": low(share("n_dup_lines", "n_lines"), 0.10, 0.30),
-        "repeats": low(share("n_repeat_words", "n_words"), 0.20, 0.40),
-        "capitals": low(share("n_upper", "word_chars"), 0.12, 0.30),
-        "marks": low(share("n_marks", "n_words"), 0.05, 0.20),
-        "digits": low(share("n_digits", "word_chars"), 0.05, 0.20),
-        "word_length": F.when((mean < 2.5) | (mean > 14), -1).when(mean.between(3, 11), 1).otherwise(0),
-        "stop_words": F.when(share("n_stop", "n_words") < 0.02, -1).when(share("n_stop", "n_words") > 0.08, 1).otherwise(0),
+        "symbols": reject(share("n_symbols", "n_words") >= 0.10),
+        "repetition": reject((share("n_dup_lines", "n_lines") >= 0.30) | (share("n_repeat_words", "n_words") >= 0.30)),
+        "shouting": reject((share("n_upper", "word_chars") >= 0.30) | (share("n_marks", "n_words") >= 0.20)),
+        "digits": reject(share("n_digits", "word_chars") >= 0.20),
+        "word_length": F.when((mean < 2.5) | (mean > 14), -1).when(mean.between(4, 9), 1).otherwise(0),
+        "stop_words": F.when(stops < 0.02, -1).when(stops > 0.08, 1).otherwise(0),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.85, sure: float = 0.8) -> tuple[float, list[dict[int, float]]]:
-    """Share of good documents, and for each rule the log-odds that a vote of -1, 0 or 1 adds.
-
-    Rules are taken to be better than chance: a vote to keep never counts against a document, nor one to reject for it.
-    """
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = PRIOR, right: float = 0.8, trust: float = TRUST) -> tuple[float, list[dict[int, float]]]:
+    """Share of good documents, and for each rule the log-odds that a vote of -1, 0 or 1 adds."""
     if not patterns:
         return prior, []
-    n = len(patterns[0][0])
-    rate = [{True: {1: sure * 0.9, 0: 0.1, -1: (1 - sure) * 0.9}, False: {1: (1 - sure) * 0.9, 0: 0.1, -1: sure * 0.9}} for _ in range(n)]
-    total = sum(c for _, c in patterns)
+    n, total, start = len(patterns[0][0]), sum(c for _, c in patterns), prior
+    ghost = trust * total
+    chance = [[{1: right, 0: 1.0, -1: 1 - right}, {1: 1 - right, 0: 1.0, -1: right}] for _ in range(n)]
+    belief = [{v: p / sum(side.values()) for v, p in side.items()} for side in chance[0]]
+    rate = [[dict(side) for side in belief] for _ in range(n)]
     for _ in range(rounds):
+        add = [{v: math.log(g[v] / b[v]) for v in (-1, 0, 1)} for g, b in rate]
         odds = math.log(prior / (1 - prior))
-        add = [{v: math.log(r[True][v] / r[False][v]) for v in (-1, 0, 1)} for r in rate]
-        add = [{-1: min(a[-1], 0.0), 0: a[0], 1: max(a[1], 0.0)} for a in add]
-        good = [1 / (1 + math.exp(-max(-500, min(500, odds + sum(a[v] for a, v in zip(add, vote)))))) for vote, _ in patterns]
-        mass = {True: sum(p * c for p, (_, c) in zip(good, patterns)), False: sum((1 - p) * c for p, (_, c) in zip(good, patterns))}
-        before, prior = prior, min(0.99, max(0.5, mass[True] / total))
+        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, odds + sum(a[v] for a, v in zip(add, vote)))))) for vote, _ in patterns]
+        mass = sum(p * c for p, (_, c) in zip(good, patterns))
+        before, prior = prior, (mass + ghost * start) / (total + ghost)
         for i in range(n):
-            for kind in (True, False):
-                seen = {v: 0.0 for v in (-1, 0, 1)}
-                for p, (vote, c) in zip(good, patterns):
-                    seen[vote[i]] += (p if kind else 1 - p) * c
-                rate[i][kind] = {v: (x + 0.01 * total * 0.01 + 0.1) / (mass[kind] + 0.03 * total * 0.01 + 0.3) for v, x in seen.items()}
-        if abs(prior - before) < 1e-9:
+            for k, (weight, all_) in enumerate(((lambda p: p, mass), (lambda p: 1 - p, total - mass))):
+                seen = {v: sum(weight(p) * c for p, (vote, c) in zip(good, patterns) if vote[i] == v) for v in (-1, 0, 1)}
+                rate[i][k] = {v: (x + ghost * belief[k][v]) / (all_ + ghost) for v, x in seen.items()}
+        if abs(prior - before) < 1e-12:
             break
-    add = [{v: math.log(r[True][v] / r[False][v]) for v in (-1, 0, 1)} for r in rate]
+    add = [{v: math.log(g[v] / b[v]) for v in (-1, 0, 1)} for g, b in rate]
+    # a rule is better than chance: a vote to keep never counts against a document, nor one to reject for it
     return prior, [{-1: min(a[-1], 0.0), 0: a[0], 1: max(a[1], 0.0)} for a in add]
 
 
@@ -129,7 +128,6 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns. Measures are taken twice so that no text is stored or shuffled."""
-    df = measured(docs)
-    model = learn(measured(docs.select("text")))
-    return df.where(~_base_failed() & (posterior(model) >= 0.5)).drop("_kv_q")
+    """The rows of ``docs`` that pass, with its columns. Rows are written with their measures, which are taken once."""
+    df = materialise(measured(docs))
+    return df.where(~_base_failed() & (posterior(learn(df)) >= 0.5)).drop("_kv_q")
