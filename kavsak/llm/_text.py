@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. UTF-8 never uses
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
 CHUNK_BYTES = 1 << 19
+#: Bytes of a span from which on it is hashed by itself.
+LONG = 1 << 12
 #: Fixed odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _U = np.uint64
@@ -95,8 +98,40 @@ def gram_hash(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mix((p[k:] - p[:-k]) * _powers(len(p), which)[1][:n]) if n > 0 else np.zeros(0, _U)
 
 
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one mixed number, zeros after the end. Spans of bytes are hashed by these: sums of
+    powers of single bytes collide on texts such as Thue-Morse words."""
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    return mix(np.ndarray((len(data),), ">u8", held, strides=(1,)).astype(_U))
+
+
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hash(prefix_hash(data, which), starts, ends, which)
+    """64-bit hash of each span of bytes, eight bytes a round; spans over LONG bytes are hashed by BLAKE2."""
+    n = (ends - starts).astype(np.int64)
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), ">u8", held, strides=(1,))
+    h = mix(n.astype(_U) + _U(BASES[which]))
+    live, r = np.flatnonzero(n <= LONG), 0
+    while len(live := live[n[live] > r]):
+        cut = (8 * np.maximum(8 - (n[live] - r), 0)).astype(_U)
+        h[live] = mix(h[live] * _U(BASES[which]) ^ eight[starts[live] + r].astype(_U) >> cut << cut)
+        r += 8
+    for i in np.flatnonzero(n > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([which])).digest(), "little")
+    return h
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each span that equal bytes, and only those, share; ``h`` are hashes of the spans."""
+    _, first, same = np.unique(h, return_index=True, return_inverse=True)
+    n, like = ends - starts, first[same]
+    if (n == n[like]).all():
+        moved = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(starts, n) + moved] == data[np.repeat(starts[like], n) + moved]).all():
+            return same
+    raw = data.tobytes()
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:

@@ -23,9 +23,10 @@ from ._spark import materialise
 HOT = 60_000
 
 
-def runs_of(tokens: np.ndarray, first: np.ndarray, width: int, k: int):
-    """Runs of windows: minimiser, fingerprint of the string, document, first window, number of windows."""
-    h = T.gram_hash(tokens, k)
+def runs_of(tokens: np.ndarray, first: np.ndarray, width: int, k: int, lag: int = 0):
+    """Runs of windows: minimiser, fingerprint of the string, document, first window, number of windows. Each token stands
+    for itself and the ``lag`` ones after it."""
+    h = T.gram_hash(tokens, k - lag)
     w = width - k + 1
     least = T.window_min(h, w)
     if not len(least):
@@ -42,7 +43,7 @@ def runs_of(tokens: np.ndarray, first: np.ndarray, width: int, k: int):
     a = np.flatnonzero(start)
     last = np.flatnonzero(valid & ~np.append(valid[1:] & ~start[1:], False))
     n = last - a + 1
-    s = T.span_hash(T.prefix_hash(tokens, 1), a, a + n - 1 + width, 1)
+    s = T.span_hash(T.prefix_hash(tokens, 1), a, a + n - 1 + width - lag, 1)
     return least[a], s, np.searchsorted(first, a, "right") - 1, a, n
 
 
@@ -53,8 +54,8 @@ def emit(width: int, k: int, by_words: bool):
                 starts, ends, first = T.words(data, off)
                 tokens = T.word_hash(data, starts, ends)
             else:
-                first, tokens = off, data
-            h, s, doc, a, n = runs_of(tokens, first, width, k)
+                first, tokens = off, T.octets(data)
+            h, s, doc, a, n = runs_of(tokens, first, width, k, 0 if by_words else 7)
             if not len(a):
                 continue
             doc_id, th = (T.column(rows, x).take(pa.array(doc)) for x in ("doc_id", "th"))
@@ -71,12 +72,12 @@ def emit(width: int, k: int, by_words: bool):
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text that tells rows with one doc_id apart, and the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def candidates(docs: DataFrame, width: int, k: int, by_words: bool) -> DataFrame:
     """Runs whose minimiser may hold a repeated window; ``one`` if all runs of the minimiser are the same string."""
-    runs = docs.mapInArrow(emit(width, k, by_words), "h long, s long, doc_id long, th int, a int, n int, b0 int, nb int")
+    runs = docs.mapInArrow(emit(width, k, by_words), "h long, s long, doc_id long, th long, a int, n int, b0 int, nb int")
     found = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"), *([F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")] if by_words else []))
     # written, so that the join's own shuffles can be split where a minimiser is frequent
     found = materialise(found.where("d1 > d0" if by_words else "c > 1").select("h", (F.col("s0") == F.col("s1")).alias("one"), *(["d0"] if by_words else [])))
@@ -168,8 +169,9 @@ def repeated(docs: DataFrame, width: int, k: int, by_words: bool, compare, finge
 
 
 def finish(docs: DataFrame, found: DataFrame, function, schema: str) -> DataFrame:
-    """Each document with its runs (none: an empty list) goes through ``function``."""
-    found = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "spans")).alias("runs"))
+    """Each document with its runs (none: an empty list) goes through ``function``. Equal rows bring equal runs, which
+    count once."""
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("a", "spans")).alias("runs"))
     docs = keyed(docs)
     joined = docs.join(found, docs.doc_id.eqNullSafe(found.d) & (docs.th == found.t), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(function, schema)

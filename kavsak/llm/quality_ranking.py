@@ -64,7 +64,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_start, line_end, line_doc = line_start[held], line_end[held], line_doc[held]
     line_end = line_end - (data[np.maximum(line_end - 1, 0)] == 10) if len(line_end) else line_end
     lines = np.maximum(np.bincount(line_doc, minlength=m), 1)
-    dup_lines = repeats(T.span_hash(T.prefix_hash(data), line_start, line_end), line_doc) if len(line_start) else np.zeros(m)
+    dup_lines = repeats(T.word_hash(data, line_start, line_end), line_doc) if len(line_start) else np.zeros(m)
     grams = T.gram_hash(h, 3)
     inside = doc[: len(grams)] == doc[2:] if len(grams) else np.zeros(0, bool)
     dup_grams = repeats(grams[inside], doc[: len(grams)][inside]) if len(grams) else np.zeros(m)

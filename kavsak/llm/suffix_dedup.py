@@ -80,7 +80,7 @@ def _layout(table: pa.Table, width: int, k: int):
     n = table.column("n").to_numpy().astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
     h = table.column("h").to_numpy()
-    grams = T.gram_hash(data, k).view(np.int64)
+    grams = T.gram_hash(T.octets(data), k - 7).view(np.int64)
     of = np.repeat(h, np.diff(off))[: len(grams)]
     hits = np.flatnonzero(grams == of)
     anchor = hits[np.searchsorted(hits, off[:-1])] - off[:-1]
@@ -116,7 +116,7 @@ def fingerprints(width: int, k: int):
                 owner = np.repeat(np.arange(len(n)), n)
                 inner = np.arange(first[-1]) - first[owner]
                 at = off[owner] + inner
-                f = [T.span_hash(T.prefix_hash(data, x), at, at + width, x) for x in (0, 1)]
+                f = [T.span_hash(T.prefix_hash(T.octets(data), x), at, at + width - 7, x) for x in (0, 1)]
                 keep = table.select(["h", "s", "c", "lo", "hi"]).take(pa.array(owner)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([T.long(f[0]), T.long(f[1]), *(pa.array(keep.column(x).to_numpy()) if x != "lo" and x != "hi" else keep.column(x).combine_chunks() for x in ("h", "s", "c", "lo", "hi")), T.long(inner)], ["f1", "f2", "h", "s", "c", "lo", "hi", "i"])
 
