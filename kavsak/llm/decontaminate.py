@@ -1,15 +1,16 @@
 """Benchmark decontamination: BM25 inverted index of test items, searched by block-max WAND with every training passage.
 
 Items are indexed by term with BM25 impacts, divided by ``share`` of the item's own score, so that one threshold of 1
-serves all. Items lie in blocks; for each term the greatest impact in each block bounds what a passage can score there.
-Passages of ``passage`` words, half overlapping, query the index: passages whose bound over all blocks stays under 1 are
-skipped, then blocks whose bound does, and only in what is left impacts are added up. All items at or above the threshold
-are retrieved. An item longer than a passage is indexed whole and also in parts of at most half a passage, each against
+serves all. Posting lists are cut into blocks of ``BLOCK`` items; the greatest impact of each block, and of each list,
+bounds what a passage can score there. Passages of ``passage`` words, half overlapping, query the index. Bounds are first
+added up for many passages at once; those whose lists, or whose best block, stay under the threshold are done. The others
+go through block-max WAND: the pivot is the first item that the lists before it may lift over the threshold, blocks whose
+bounds can't are skipped whole, and only items left are scored. All items at or above the threshold are retrieved. An item longer than a passage is indexed whole and also in parts of at most half a passage, each against
 its own score; one part retrieves it. A retrieved item counts as leaked into a document if the document holds at least ``question`` of the
 n-grams of its question (all but its last line, or its first four fifths) and ``answer`` of those of its answer.
 
 The index is broadcast; benchmarks over ``shard_items`` items or ``shard_bytes`` bytes are searched shard by shard, so what
-is broadcast stays bounded. Words are case-sensitive runs of non-blanks. Null and blank texts and items never match.
+is broadcast stays bounded; document frequencies and lengths are always those of the whole benchmark. Words are case-sensitive runs of non-blanks. Null and blank texts and items never match.
 Repeated rows and items are all reported. Extra columns pass through in ``keep_clean`` and are ignored in ``leaks``. Rows
 with a null doc_id are reported with it. Empty documents or benchmarks give no leaks.
 """
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import materialise
 
 PASSAGE, SHARE, QUESTION, ANSWER, GRAM, K1, B = 64, 0.5, 0.6, 0.5, 5, 1.2, 0.75
-SHARD_ITEMS, SHARD_BYTES, BLOCKS = 20_000, 32 << 20, 64
+SHARD_ITEMS, SHARD_BYTES, BLOCK = 20_000, 32 << 20, 32
+#: Bounds may be a rounding below the sum they bound.
+NEARLY = 1 - 1e-6
 
 
 def _parts(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -59,14 +63,18 @@ def _units(words: list[np.ndarray], passage: int) -> tuple[list[np.ndarray], np.
     return [out[k] for k in order], np.array(of)[order]
 
 
-def build_index(items: list[tuple[int, str]], share: float = SHARE, passage: int = PASSAGE) -> dict | None:
+def build_index(items: list[tuple[int, str]], share: float = SHARE, passage: int = PASSAGE, whole_: tuple[int, float, dict[int, int]] | None = None) -> dict | None:
+    """``whole_``: number of items, mean length and document frequencies of the whole benchmark, if ``items`` is a part of it."""
     items = [(i, *map(_hash_words, _parts(t))) for i, t in items if t and t.split()]
     if not items:
         return None
     whole = [np.concatenate([q, a]) for _, q, a in items]
     vocab, df = np.unique(np.concatenate([np.unique(w) for w in whole]), return_counts=True)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(w) for w in whole])
+    n_items, mean = len(items), np.mean([len(w) for w in whole])
+    if whole_:
+        n_items, mean, every = whole_
+        df = np.array([every[int(t)] for t in vocab.view(np.int64)])
+    idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
     units, of = _units(whole, passage)
     terms = [np.unique(w, return_counts=True) for w in units]
     lengths = np.array([len(w) for w in units], np.float64)
@@ -76,13 +84,56 @@ def build_index(items: list[tuple[int, str]], share: float = SHARE, passage: int
     impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[unit] / mean))
     own = np.bincount(unit, impact)
     impact = impact / (share * own[unit])
-    n_blocks = min(BLOCKS, len(units))
-    block = unit * n_blocks // len(units)
-    bound = np.zeros((len(vocab) + 1, n_blocks), np.float32)
-    np.maximum.at(bound, (at, block), impact.astype(np.float32))
     order = np.argsort(at, kind="stable")
-    posts = np.bincount(at, minlength=len(vocab))
-    return {"ids": [i for i, *_ in items], "grams": [(_grams(q), _grams(a)) for _, q, a in items], "vocab": vocab, "bound": bound, "of": of, "unit": unit[order], "impact": impact[order], "block": block[order], "at": np.concatenate([[0], np.cumsum(posts)])}
+    at, unit, impact = at[order], unit[order], impact[order]
+    n_blocks = -(-len(units) // BLOCK)
+    cell = at * n_blocks + unit // BLOCK
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    block_max = np.maximum.reduceat(impact, starts)
+    ends = lambda x: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(vocab)))])
+    list_max = np.zeros(len(vocab))
+    np.maximum.at(list_max, at, impact)
+    return {"ids": [i for i, *_ in items], "grams": [(_grams(q), _grams(a)) for _, q, a in items], "vocab": vocab, "of": of, "unit": unit, "impact": impact, "at": ends(at), "n_blocks": n_blocks, "block": cell[starts] % n_blocks, "block_max": block_max, "block_at": ends(at[starts]), "list_max": list_max}
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def wand(index: dict, query: np.ndarray) -> list[tuple[int, float]]:
+    """(unit, score) of all units that score 1 or more for the terms of ``query``, by block-max WAND."""
+    at, end, top = index["at"][query].copy(), index["at"][query + 1], index["list_max"][query]
+    unit, impact, out = index["unit"], index["impact"], []
+    bounds = [dict(zip(index["block"][a:b].tolist(), index["block_max"][a:b].tolist())) for a, b in zip(index["block_at"][query], index["block_at"][query + 1])]
+    none = len(index["of"])
+    current = np.where(at < end, unit[np.minimum(at, len(unit) - 1)], none)
+
+    def move(which: np.ndarray, to: int) -> None:
+        for i in which.tolist():
+            at[i] += np.searchsorted(unit[at[i] : end[i]], to)
+            current[i] = unit[at[i]] if at[i] < end[i] else none
+
+    while True:
+        order = np.argsort(current, kind="stable")
+        over = np.flatnonzero((np.cumsum(top[order]) >= NEARLY) & (current[order] < none))
+        if not len(over):
+            return out
+        pivot = int(current[order[over[0]]])
+        before = np.flatnonzero(current <= pivot)
+        block = pivot // BLOCK
+        if sum(bounds[i].get(block, 0.0) for i in before.tolist()) < NEARLY:
+            # no unit up to the end of the block, or to where a further list begins, can reach the threshold
+            later = current[current > pivot]
+            move(before, min((block + 1) * BLOCK, int(later.min()) if len(later) else none))
+        elif (current[before] == pivot).all():
+            score = float(impact[at[before]].sum())
+            if score >= 1:
+                out.append((pivot, score))
+            move(before, pivot + 1)
+        else:
+            move(before[current[before] < pivot], pivot)
 
 
 def retrieve(index: dict, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, passage: int) -> dict[tuple[int, int], float]:
@@ -92,27 +143,27 @@ def retrieve(index: dict, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, p
     start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     cells = cell[start]
     follows = np.append(cells[1:] == cells[:-1] + 1, False)
-    # over all blocks at once
-    most = np.add.reduceat(index["bound"].max(1)[ids], start)
+    # over whole lists
+    most = np.add.reduceat(index["list_max"][ids], start)
     both = most + np.where(follows, np.append(most[1:], 0), 0)
-    live = np.flatnonzero(both >= 0.999)
+    live = np.flatnonzero(both >= NEARLY)
     found: dict[tuple[int, int], float] = {}
-    end = np.append(start[1:], len(ids))
-    for part in range(0, len(live), 512):
-        some = live[part : part + 512]
+    end, n_blocks = np.append(start[1:], len(ids)), index["n_blocks"]
+    step = max(1, min(512, 4_000_000 // n_blocks))
+    for part in range(0, len(live), step):
+        some = live[part : part + step]
         stop = np.where(follows[some], end[np.minimum(some + 1, len(end) - 1)], end[some])
-        n = stop - start[some]
-        words = np.repeat(start[some] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        bound = np.add.reduceat(index["bound"][ids[words]], np.append(0, np.cumsum(n)[:-1]))
-        for i, blocks in zip(np.flatnonzero((bound >= 0.999).any(1)), bound[(bound >= 0.999).any(1)] >= 0.999):
-            query = np.unique(ids[start[some[i]] : stop[i]])
-            posts = np.concatenate([np.arange(index["at"][t], index["at"][t + 1]) for t in query])
-            posts = posts[blocks[index["block"][posts]]]
-            which, inverse = np.unique(index["unit"][posts], return_inverse=True)
-            score = np.bincount(inverse, index["impact"][posts])
-            for k in np.flatnonzero(score >= 1):
-                key = (int(doc[start[some[i]]]), int(index["of"][which[k]]))
-                found[key] = max(found.get(key, 0.0), float(score[k]))
+        owner = np.repeat(np.arange(len(some)), stop - start[some])
+        term = np.unique(owner * len(index["vocab"]) + ids[_spread(start[some], stop)])
+        owner, term = term // len(index["vocab"]), term % len(index["vocab"])
+        # over blocks
+        a, b = index["block_at"][term], index["block_at"][term + 1]
+        entry = _spread(a, b)
+        bound = np.bincount(np.repeat(owner, b - a) * n_blocks + index["block"][entry], index["block_max"][entry], len(some) * n_blocks).reshape(len(some), n_blocks)
+        for i in np.flatnonzero((bound >= NEARLY).any(1)):
+            for u, score in wand(index, term[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]):
+                key = (int(doc[start[some[i]]]), int(index["of"][u]))
+                found[key] = max(found.get(key, 0.0), score)
     return found
 
 
@@ -147,21 +198,38 @@ def _search(index: dict, rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray
     return out
 
 
-def _shards(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark, or parts of it of bounded size."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    k = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES))
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i) for i in range(k)] if k > 1 else [items]
+def _terms(batches):
+    """Per item its different words, hashed, with its shard; the first row of an item also has its number of words."""
+    for rows, data, off in T.chunks(batches):
+        starts, ends, first = T.words(data, off)
+        h, shard = T.word_hash(data, starts, ends), T.column(rows, "shard").to_numpy()
+        for i in np.flatnonzero(np.diff(first)):
+            t = np.unique(h[first[i] : first[i + 1]])
+            size = np.zeros(len(t), np.int64)
+            size[0] = first[i + 1] - first[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), shard[i])), T.long(t), pa.array(size)], ["shard", "t", "size"])
 
 
 def _indexes(benchmark: DataFrame, share: float, passage: int):
+    """Broadcast indexes of the benchmark, or of its parts of bounded size."""
     sc = benchmark.sparkSession.sparkContext
-    for shard in _shards(benchmark):
-        items = sorted(((r["item_id"], r["text"]) for r in shard.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
-        index = build_index(items, share, passage)
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    k = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(k)))
+    whole = None
+    if k > 1:
+        terms = materialise(items.mapInArrow(_terms, "shard long, t long, size long"))
+        seen = materialise(terms.groupBy("t").agg(F.count("*").alias("df")))
+        n_items, total = terms.agg(F.sum((F.col("size") > 0).cast("long")), F.sum("size")).first()
+    for i in range(k):
+        if k > 1:
+            own = terms.where(F.col("shard") == i).select("t").distinct().join(seen, "t").toArrow()
+            whole = (n_items, total / max(1, n_items or 1), dict(zip(own.column("t").to_pylist(), own.column("df").to_pylist()))) if n_items else None
+        rows = sorted(((r["item_id"], r["text"]) for r in items.where(F.col("shard") == i).collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        index = build_index(rows, share, passage, whole)
         if index:
-            index["sizes"] = [tuple(map(len, _parts(t))) for _, t in items if t and t.split()]
+            index["sizes"] = [tuple(map(len, _parts(t))) for _, t in rows if t and t.split()]
             yield sc.broadcast(index)
 
 
