@@ -26,7 +26,7 @@ from ._spark import materialise
 
 #: Weights by rank of the source, total wanted over total size, the most copies of a source.
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-CHUNK, LEVELS = 20_000, 3
+CHUNK, LEVELS = 2_000, 3
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
