@@ -1,16 +1,21 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models are bigram models of one form over one vocabulary: all words of all documents, however rare. Bigrams and words
-are counted exactly over all documents, for the background model all of them and for the target model those of
-``target_ids``. The models share their bigrams too: all those seen at least twice, however many. At most ``vocabulary``
-of the most frequent words and ``most_pairs`` of the most frequent bigrams are broadcast; the rarer ones are joined by a
-shuffle with what each row has left, so the scores don't depend on either. Bigrams seen once are not kept, they
-are backed off to smoothed word counts with the mass that discounts set free. A document's score is the mean over
-its words of the target's loss less the background's, in nats: the lower, the closer to the target.
-
-Words are case-sensitive runs of non-blanks; they and bigrams are told apart by 64-bit hashes. Null and blank texts have
-no words and score 0. Repeated rows all count and score alike. Extra columns are ignored. With no target document the two
-models are the same and all scores are 0. An empty table gives an empty result.
+Both models are bigram models of one form over one vocabulary: all words of all documents, however rare, and all bigrams,
+those seen once included. They are counted exactly over all documents, for the background model all of them and for the
+target model those of ``target_ids``. Bigram counts are discounted; the mass that this sets free goes to smoothed word
+counts. When a document is scored, its own bigrams are taken from their counts first (leave one out), so target documents
+don't profit from having been learned from. A document's score is the mean over its words of the target's loss less the
+background's, in nats: the lower, the closer to the target.
+
+Texts travel once, packed in batches of about ``batch`` words: the batch's different words and, for each word of its texts,
+its number among them. Each batch sends its different bigrams, packed and sorted, to buckets by their first word (that of
+frequent first words also by the second, so that no bucket is hot), where all batches' counts are added up; what others
+have counted is sent back as a list in the same order. Counts of words are joined to the batches' words, only those of the
+``vocabulary`` most frequent words are broadcast. There are as many buckets as a task can hold of ``pairs`` bigrams.
+
+Words are case-sensitive runs of non-blanks, told apart by 64-bit hashes (in bigrams, second words by 48 bits). Null and
+blank texts have no words and score 0. Repeated rows all count and score alike. Extra columns are ignored. With no target
+document the two models are the same and all scores are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,123 +23,100 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._spark import materialise, small
 
-VOCABULARY, MOST_PAIRS, DISCOUNT, ADD = 1 << 14, 1 << 20, 0.75, 0.5
+VOCABULARY, DISCOUNT, ADD, BATCH, PAIRS = 1 << 14, 0.75, 0.5, 1_000_000, 3_000_000
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
-#: What stands before a document's first word, and in place of the word before where words are counted.
-START, WORD = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], _U)
-
-
-def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, of the words before them, and each document's first word."""
-    starts, ends, first = T.words(data, off)
-    w = T.word_hash(data, starts, ends)
-    before = np.concatenate([w[:1], w[:-1]])
-    before[first[:-1][np.diff(first) > 0]] = START
-    return w, before, first
-
-
-def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return T.mix(T.mix(before) * _U(0x9E3779B97F4A7C15) ^ w)
-
-
-def _count(batches):
-    """(h, w, n, m): how often w follows h in all and in target documents; h is WORD where w is counted whatever is before
-    it, and then START counts documents with words."""
-
-    def out(keys: np.ndarray, h: np.ndarray, w: np.ndarray, hit: np.ndarray):
-        _, where, at, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        m = np.bincount(at, hit, len(n)).astype(np.int64)
-        for part in range(0, len(n), 200_000):
-            cut = slice(part, part + 200_000)
-            yield pa.RecordBatch.from_arrays([T.long(h[where[cut]]), T.long(w[where[cut]]), T.long(n[cut]), T.long(m[cut])], ["h", "w", "n", "m"])
-
-    def counted(held):
-        h, w, hit = (np.concatenate(x) for x in zip(*held))
-        yield from out(pair_hash(h, w), h, w, hit)
-        begun = h == START
-        w, hit = np.append(w, h[begun]), np.append(hit, hit[begun])
-        yield from out(w, np.full(len(w), WORD), w, hit)
-
-    held: list[tuple[np.ndarray, ...]] = []
-    for rows, data, off in T.chunks(batches):
-        w, before, first = words_of(data, off)
-        held.append((before, w, np.repeat(T.column(rows, "hit").to_numpy(zero_copy_only=False).astype(np.int8), np.diff(first))))
-        if sum(len(w) for w, *_ in held) > 2_000_000:
-            yield from counted(held)
-            held = []
-    if held:
-        yield from counted(held)
-
-
-def _cut(df: DataFrame, most: int) -> tuple[int, int, bool]:
-    """Powers of two ``least`` and ``below``: at most ``most`` rows have n >= least, and if any have less, more than ``most``
-    have n >= below; and whether any have less."""
-    total, least = 0, 1 << 62
-    for r in df.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect():
-        total += r["count"]
-        if total > most:
-            return least, 1 << r["b"], True
-        least = 1 << r["b"]
-    return least, 1, False
-
-
-def _word_losses(words: DataFrame, kept: DataFrame) -> tuple[DataFrame, bool]:
-    """Per word, START too: w, n, hn and hm (its counts as history), tu and bu (losses as a word that is backed off), tr and
-    br (those of backing off after it), for target and background; and whether the models are the same."""
-    size, total, some = words.where(F.col("w") != _signed(START)).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    size, same = size + 2, not some
-    less = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias("f" + c)
-    freed = kept.groupBy(F.col("h").alias("w")).agg(less("n"), less("m"))
-    uni = lambda c, all_: -F.log((F.col(c) + ADD) / (all_ + ADD * size))
-    rest = lambda c: -F.log(F.greatest(1 - F.coalesce("f" + c, F.lit(0.0)) / F.greatest(c, F.lit(1)), F.lit(1e-9)))
-    t, all_ = ("n", total) if same else ("m", some)
-    cols = {"hn": F.greatest("n", F.lit(1)), "hm": F.greatest(t, F.lit(1)), "tu": uni(t, all_), "bu": uni("n", total), "tr": rest(t), "br": rest("n")}
-    return materialise(words.join(freed, "w", "left").select("w", "n", *(c.alias(k) for k, c in cols.items()))), same
-
-
-def _signed(x) -> Column:
-    return F.lit(int(np.array([x], _U).view(np.int64)[0]))
-
-
-def _pair_changes(kept: DataFrame, top: DataFrame, rare: DataFrame | None, same: bool) -> DataFrame:
-    """(k, n, dt, db): what each kept pair changes in the losses of backing off. Frequent words are found by broadcast, and
-    only pairs with a rare one are shuffled."""
-    left, right = ("hn", "hm", "tr", "br"), ("tu", "bu")
-    one = lambda df, key, cols, mark: df.select(F.col("w").alias(key), *(F.col(c).alias(mark + c) for c in cols))
-    every = kept.join(F.broadcast(one(top, "h", left, "")), "h", "left").join(F.broadcast(one(top, "w", right, "")), "w", "left")
-    known = every.where("tr is not null and tu is not null")
-    if rare is not None:
-        rest = every.where("tr is null or tu is null")
-        for key, cols in (("h", left), ("w", right)):
-            # those found already are dealt out at random, not all to one task
-            found = F.col(cols[-1]).isNotNull()
-            rest = rest.withColumn("x", F.when(found, F.xxhash64("h", "w")).otherwise(F.col(key))).join(one(rare, "x", cols, "r_"), "x", "left")
-            rest = rest.select(*(c for c in every.columns if c not in cols), *(F.coalesce(c, "r_" + c).alias(c) for c in cols))
-        known = known.unionByName(rest)
+#: What stands before a document's first word.
+START = _U(0x5851F42D4C957F2D)
+PACKED = "g long, words binary, tokens binary, sizes binary, ids array<long>, hits binary"
+COUNTED = "g long, bucket int, more binary, n binary, m binary, w long, fn double, fm double"
 
-    def run(batches):
-        for batch in batches:
-            h, w, n, m, hn, hm, tr, br, tu, bu = (T.column(batch, c).to_numpy() for c in ("h", "w", "n", "m", *left, *right))
-            key = pair_hash(h.view(_U), w.view(_U))
-            dt, db = (-np.log1p(np.maximum(c - DISCOUNT, 0) / many * np.exp(r + u)) for c, many, r, u in ((n if same else m, hm, tr, tu), (n, hn, br, bu)))
-            yield pa.RecordBatch.from_arrays([T.long(key), T.long(n), pa.array(dt), pa.array(db)], ["k", "n", "dt", "db"])
 
-    return materialise(known.select("h", "w", "n", "m", *left, *right).mapInArrow(run, "k long, n long, dt double, db double"))
+def squeezed(x: np.ndarray) -> bytes:
+    """Small numbers, byte by byte of their place value, compressed; their number comes first."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _sorted(df: DataFrame, key: str, *cols: str) -> tuple[np.ndarray, ...]:
-    table = df.select(key, *cols).toArrow()
-    k = table.column(key).to_numpy().view(_U)
-    order = np.argsort(k)
-    return (k[order], *(table.column(c).to_numpy()[order] for c in cols))
+def unsqueezed(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.decompress(x[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _batch(arrays: dict, schema: str) -> pa.RecordBatch:
+    """Columns in the order of the schema; those not given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    names = [c.split(" ") for c in schema.split(", ")]
+    n = len(next(iter(arrays.values())))
+    return pa.RecordBatch.from_arrays([pa.array(arrays[c], kinds[k]) if c in arrays else pa.nulls(n, kinds[k]) for c, k in names], [c for c, _ in names])
+
+
+def pack(limit: int):
+    """Batches of texts: their different words (START too), their words' numbers, texts' numbers of words, doc_ids, marks of targets."""
+
+    def run(batches):
+        held, size, row = [], 0, TaskContext.get().partitionId() << 33
+
+        def out():
+            w, sizes, ids, hits = (np.concatenate(x) for x in list(zip(*held)))
+            words, at = np.unique(np.append(w, START), return_inverse=True)
+            ids = [None if i is None else int(i) for i in ids]
+            return _batch({"g": [row], "words": [words.tobytes()], "tokens": [squeezed(at[:-1])], "sizes": [squeezed(sizes)], "ids": [ids], "hits": [hits.astype(np.uint8).tobytes()]}, PACKED)
+
+        for rows, data, off in T.chunks(batches):
+            starts, ends, first = T.words(data, off)
+            held.append((T.word_hash(data, starts, ends), np.diff(first), np.array(T.column(rows, "doc_id").to_pylist(), object), T.column(rows, "hit").to_numpy(zero_copy_only=False)))
+            size += len(starts)
+            if size >= limit:
+                yield out()
+                held, size, row = [], 0, row + 1
+        if held:
+            yield out()
+
+    return run
+
+
+class Texts:
+    """A batch of packed texts: words, and per word of the texts its number, its bigram and its text."""
+
+    def __init__(self, row: dict):
+        self.words = np.frombuffer(row["words"], _U)
+        self.tokens, sizes = unsqueezed(row["tokens"]), unsqueezed(row["sizes"])
+        self.hits = np.frombuffer(row["hits"], np.uint8)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.start = int(np.searchsorted(self.words, START))
+        self.before = np.concatenate([self.tokens[:0], [self.start], self.tokens[:-1]])[: len(self.tokens)]
+        self.before[self.first[:-1][sizes > 0]] = self.start
+        self.hit = self.hits[self.text].astype(np.int64)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each different word in all texts and in targets; of START, texts with words."""
+        n, m = (np.bincount(self.tokens, x, len(self.words)).astype(np.int64) for x in (None, self.hit))
+        some = np.diff(self.first) > 0
+        n[self.start], m[self.start] = n[self.start] + some.sum(), m[self.start] + (some & (self.hits > 0)).sum()
+        return n, m
+
+    def bigrams(self, spread: tuple[np.ndarray, np.ndarray], buckets: int):
+        """First and second words, counts and bucket of the different bigrams, sorted by bucket and words; each word's bigram."""
+        code, at, n = np.unique(self.before * len(self.words) + self.tokens, return_inverse=True, return_counts=True)
+        m = np.bincount(at, self.hit, len(code)).astype(np.int64)
+        h, w = self.words[code // len(self.words)], self.words[code % len(self.words)]
+        bucket = T.mix(h)
+        place, often = _find(spread[0], h)
+        if often.any():
+            bucket[often] += T.mix(~w[often]) % spread[1][place[often]]
+        bucket = (bucket % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return h[order], w[order], n[order], m[order], bucket[order], rank[at]
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,84 +127,175 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _last(w: np.ndarray) -> np.ndarray:
-    """Key of a rare word at the end of a document, where it is no history."""
-    return T.mix(w ^ _U(0xA0761D6478BD642F))
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+    T.release()
 
 
-def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """Per row: doc_id, n_words, target_loss, background_loss (means a word) and ce_diff. ``target_ids`` has doc_id."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(True))
-    marked = docs.join(small(ids, BROADCAST_IDS), docs.doc_id == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(False)).alias("hit"))
-    counts = marked.mapInArrow(_count, "h long, w long, n long, m long").groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    # single pairs are backed off
-    is_word = F.col("h") == _signed(WORD)
-    counts = materialise(counts.where(is_word | (F.col("n") > 1)))
-    kept = counts.where(~is_word)
-    words, same = _word_losses(counts.where(is_word).drop("h"), kept)
-    is_start = F.col("w") == _signed(START)
-    least, _, more_words = _cut(words.where(~is_start), vocabulary)
-    often = is_start | (F.col("n") >= least)
-    rare = words.where(~often) if more_words else None
-    changes = _pair_changes(kept, words.where(often), rare, same)
-    least_pair, _, more_pairs = _cut(changes, most_pairs)
-    more = more_words or more_pairs
-    shared = sc.broadcast((_sorted(words.where(often), "w", "tu", "bu", "tr", "br"), _sorted(changes.where(F.col("n") >= least_pair), "k", "dt", "db")))
+def _count_words(batches):
+    for row in _rows(batches):
+        t = Texts(row | {"ids": None})
+        n, m = t.counts()
+        yield _batch({"w": t.words.view(np.int64), "n": n, "m": m}, "w long, n long, m long")
+
+
+def _send(spread, buckets: int):
+    """Bigrams of each batch by bucket: runs of first words, 48 bits of second words, counts."""
 
     def run(batches):
-        task, at_row = (TaskContext.get().partitionId() << 33), 0
-        for rows, data, off in T.chunks(batches):
-            (vocab, *uni_rest), (keys, *change) = shared.value
-            w, before, first = words_of(data, off)
-            pair = pair_hash(before, w)
-            word_at, known = _find(vocab, w)
-            at, hit = _find(keys, pair)
-            begins = first[:-1][np.diff(first) > 0]
-            start_at, started = _find(vocab, np.array([START]))
-            sums = []
-            for uni, rest, delta in zip(uni_rest[:2], uni_rest[2:], change):
-                after = np.where(known, rest[word_at], 0.0) if len(vocab) else np.zeros(len(w))
-                loss = np.where(known, uni[word_at], 0.0) if len(vocab) else np.zeros(len(w))
-                loss[1:] += after[:-1]
-                loss[begins[begins > 0]] -= after[begins[begins > 0] - 1]
-                loss[begins] += rest[start_at[0]] if started[0] else 0.0
-                if len(keys):
-                    loss += np.where(hit, delta[at], 0.0)
-                total = np.append(0.0, np.cumsum(loss))
-                sums.append(total[first[1:]] - total[first[:-1]])
-            # pairs and words to be looked up in what was not broadcast, counted by row
-            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
-            lacks, ends = (np.zeros(0, np.int64),) * 2
-            miss = np.flatnonzero(~hit) if more_pairs else lacks
-            if more_words:
-                lacks, ends = np.flatnonzero(~known), first[1:][np.diff(first) > 0] - 1
-                ends = ends[~known[ends]]
-            of, key = np.concatenate([owner[miss], owner[lacks], owner[ends]]), np.concatenate([pair[miss], w[lacks], _last(w[ends])])
-            order = np.lexsort((key, of))
-            of, key = of[order], key[order]
-            new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])[: len(of)])
-            times = np.diff(np.append(new, len(of)))
-            to = np.searchsorted(of[new], np.arange(rows.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(to), T.long(x)) for x in (key[new], times)]
-            yield pa.RecordBatch.from_arrays([T.long(task + at_row + np.arange(rows.num_rows)), T.column(rows, "doc_id"), T.long(np.diff(first)), pa.array(sums[0]), pa.array(sums[1]), *lists], ["row", "doc_id", "n_words", "t", "b", "key", "times"])
-            at_row += rows.num_rows
-
-    def of_words(batches):
+        for row in _rows(batches):
+            h, w, n, m, bucket, _ = Texts(row).bigrams(spread.value, buckets)
+            new = np.append(True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1]))[: len(h)]
+            low = (w >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(h)])
+            out = {c: [] for c in ("bucket", "g", "h", "runs", "w", "n", "m")}
+            for a, b in zip(cuts, np.append(cuts[1:], len(h))):
+                at = a + np.flatnonzero(new[a:b])
+                for c, x in (("bucket", int(bucket[a])), ("g", row["g"]), ("h", h[at].tobytes()), ("runs", squeezed(np.diff(np.append(at, b)))), ("w", low[a:b].tobytes()), ("n", squeezed(n[a:b])), ("m", squeezed(m[a:b]))):
+                    out[c].append(x)
+            if len(h):
+                yield _batch(out, "bucket int, g long, h binary, runs binary, w binary, n binary, m binary")
+
+    return run
+
+
+def _add_up(batches):
+    """Per message what the others of its bucket have counted of its bigrams; per first word the mass that its bigrams keep."""
+
+    def out(held: list[dict]):
+        h, w, n, m = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(r["h"], _U), unsqueezed(r["runs"])), np.pad(np.frombuffer(r["w"], np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel(), unsqueezed(r["n"]), unsqueezed(r["m"])) for r in held)))
+        order = np.lexsort((w, h))
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
+        at = np.flatnonzero(new)
+        total = [np.add.reduceat(x[order], at) for x in (n, m)]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        del order
+        first = np.empty(len(at), _U)
+        first[which] = h
+        words, of = np.unique(first, return_inverse=True)
+        keep = [np.bincount(of, np.maximum(x - DISCOUNT, 0)) for x in total]
+        yield _batch({"w": words.view(np.int64), "fn": keep[0], "fm": keep[1]}, COUNTED)
+        more = [t[which] - x for t, x in zip(total, (n, m))]
+        cut = np.cumsum([0, *(len(r["w"]) // 6 for r in held)])
+        for r, a, b in zip(held, cut, cut[1:]):
+            some = more[0][a:b] > 0
+            yield _batch({"g": [r["g"]], "bucket": [r["bucket"]], "more": [np.packbits(some).tobytes()], "n": [squeezed(more[0][a:b][some])], "m": [squeezed(more[1][a:b][some])]}, COUNTED)
+
+    held: list[dict] = []
+    for row in _rows(batches):
+        if held and held[0]["bucket"] != row["bucket"]:
+            yield from out(held)
+            held = []
+        held.append(row)
+    if held:
+        yield from out(held)
+
+
+def _ask(often):
+    """(g, w) of the batches' words whose counts aren't broadcast."""
+
+    def run(batches):
+        for row in _rows(batches):
+            words = np.frombuffer(row["words"], _U)
+            rare = words[~_find(often.value[0], words)[1]]
+            yield _batch({"g": np.full(len(rare), row["g"]), "w": rare.view(np.int64)}, "g long, w long")
+
+    return run
+
+
+ALL = PACKED + ", bucket int, more binary, n binary, m binary, kind int, w long, wn long, wm long, fn double, fm double"
+
+
+def _score(often, spread, buckets: int, size: int, totals: tuple[int, int], same: bool):
+    """Scores of the texts of each batch, from its row (kind 0), counts of its rare words (1) and answers of the buckets (2)."""
+
+    def one(row: dict, words: list[pa.RecordBatch], answers: list[dict]):
+        t = Texts(row)
+        stats = np.zeros((4, len(t.words)))
+        at, known = _find(often.value[0], t.words)
+        if known.any():
+            stats[:, known] = often.value[1][:, at[known]]
+        for b in words:
+            place = np.searchsorted(t.words, T.column(b, "w").to_numpy().view(_U))
+            stats[:, place] = [T.column(b, c).to_numpy() for c in ("wn", "wm", "fn", "fm")]
+        n, m, fn, fm = stats
+        *_, pn, pm, bucket, at = t.bigrams(spread.value, buckets)
+        for r in answers:
+            a, b = np.searchsorted(bucket, r["bucket"]), np.searchsorted(bucket, r["bucket"], "right")
+            some = a + np.flatnonzero(np.unpackbits(np.frombuffer(r["more"], np.uint8), count=b - a))
+            pn[some] += unsqueezed(r["n"])
+            pm[some] += unsqueezed(r["m"])
+        # what the text itself has counted is left out
+        _, mine, times = np.unique(t.text * (len(pn) + 1) + at, return_inverse=True, return_counts=True)
+        own = times[mine] if len(times) else at
+        losses = []
+        for c, left, mass, held, total in ((pm, own * t.hit, fm, m, totals[1]), (pn, own, fn, n, totals[0])) if not same else ((pn, own, fn, n, totals[0]),) * 2:
+            held_ = np.maximum(held, 1)
+            rest = np.maximum(1 - mass / held_, 1e-9)[t.before]
+            uni = ((held + ADD) / (total + ADD * size))[t.tokens]
+            loss = np.append(0.0, np.cumsum(-np.log(np.maximum(c[at] - left - DISCOUNT, 0) / held_[t.before] + rest * uni)))
+            losses.append((loss[t.first[1:]] - loss[t.first[:-1]]) / np.maximum(np.diff(t.first), 1))
+        cols = {"doc_id": row["ids"], "n_words": np.diff(t.first), "target_loss": losses[0], "background_loss": losses[1], "ce_diff": losses[0] - losses[1]}
+        return _batch(cols, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")
+
+    def run(batches):
+        row, words, answers = None, [], []
         for batch in batches:
-            w, tu, bu, tr, br = (T.column(batch, c).to_numpy() for c in ("w", "tu", "bu", "tr", "br"))
-            yield pa.RecordBatch.from_arrays([T.long(np.append(w, _last(w.view(_U)).view(np.int64))), pa.array(np.append(tu + tr, -tr)), pa.array(np.append(bu + br, -br))], ["k", "dt", "db"])
-
-    scored = docs.mapInArrow(run, "row long, doc_id long, n_words long, t double, b double, key array<long>, times array<long>")
-    if more:
-        scored = materialise(scored)
-        left = changes.where(F.col("n") < least_pair).select("k", "dt", "db")
-        if more_words:
-            left = left.union(rare.select("w", "tu", "bu", "tr", "br").mapInArrow(of_words, "k long, dt double, db double"))
-        wanted = scored.select("row", F.explode(F.arrays_zip("key", "times")).alias("x")).select("row", F.col("x.key").alias("k"), F.col("x.times").alias("c"))
-        found = wanted.join(left, "k").groupBy("row").agg(F.sum(F.col("c") * F.col("dt")).alias("dt"), F.sum(F.col("c") * F.col("db")).alias("db"))
-        zero = F.lit(0.0)
-        scored = scored.drop("key", "times").join(found, "row", "left").select("doc_id", "n_words", (F.col("t") + F.coalesce("dt", zero)).alias("t"), (F.col("b") + F.coalesce("db", zero)).alias("b"))
-    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    return scored.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))
+            kind, at = T.column(batch, "kind").to_numpy(), 0
+            while at < len(kind):
+                if kind[at] == 1:
+                    g = T.column(batch, "g").to_numpy()
+                    stop = at + int(np.argmax(np.append((kind[at:] != 1) | (g[at:] != g[at]), True)))
+                    words.append(batch.select(["w", "wn", "wm", "fn", "fm"]).slice(at, stop - at))
+                    at = stop
+                    continue
+                found = {c: batch.column(k)[at].as_py() for k, c in enumerate(batch.schema.names)}
+                if kind[at] == 0:
+                    if row:
+                        yield one(row, words, answers)
+                    row, words, answers = found, [], []
+                else:
+                    answers.append(found)
+                at += 1
+        if row:
+            yield one(row, words, answers)
+        T.release()
+
+    return run
+
+
+def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, batch: int = BATCH, pairs: int = PAIRS) -> DataFrame:
+    """Per row: doc_id, n_words, target_loss, background_loss (means a word) and ce_diff. ``target_ids`` has doc_id."""
+    spark = docs.sparkSession
+    sc, parts = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(True))
+    marked = docs.join(small(ids, BROADCAST_IDS), docs.doc_id == F.col("t_id"), "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("hit"))
+    packed = materialise(marked.mapInArrow(pack(batch), PACKED))
+    counts = materialise(packed.mapInArrow(_count_words, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    start = int(START.view(np.int64))
+    size, *totals = counts.where(F.col("w") != start).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    buckets = max(parts, -(-totals[0] // pairs))
+    # first words that would fill a quarter of a bucket are dealt to several by the second word; there are few of them
+    many = counts.where(F.col("n") * 4 * buckets > totals[0]).select("w", "n").toArrow()
+    key = many.column("w").to_numpy().view(_U)
+    order = np.argsort(key)
+    share = np.minimum(np.ceil(4 * buckets * many.column("n").to_numpy()[order] / max(1, totals[0])), buckets).astype(_U)
+    spread = sc.broadcast((key[order], share))
+    sent = packed.mapInArrow(_send(spread, buckets), "bucket int, g long, h binary, runs binary, w binary, n binary, m binary")
+    added = materialise(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, COUNTED))
+    freed = added.where("w is not null").groupBy("w").agg(F.sum("fn").alias("fn"), F.sum("fm").alias("fm"))
+    zero = F.lit(0.0)
+    words = materialise(counts.join(freed, "w", "left").select("w", F.col("n").alias("wn"), F.col("m").alias("wm"), F.coalesce("fn", zero).alias("fn"), F.coalesce("fm", zero).alias("fm")), counts)
+    top = words.orderBy(F.desc("wn"), "w").limit(vocabulary).toArrow()
+    key = top.column("w").to_numpy().view(_U)
+    order = np.argsort(key)
+    often = sc.broadcast((key[order], np.array([top.column(c).to_numpy()[order] for c in ("wn", "wm", "fn", "fm")], np.float64).reshape(4, len(order))))
+    asked = packed.mapInArrow(_ask(often), "g long, w long").join(words, "w").withColumn("kind", F.lit(1))
+    own, answers = packed.withColumn("kind", F.lit(0)), added.where("w is null").select("g", "bucket", "more", "n", "m", F.lit(2).alias("kind"))
+    every = own.unionByName(asked, True).unionByName(answers, True).select(*(c.split(" ")[0] for c in ALL.split(", ")))
+    score = _score(often, spread, buckets, size + 2, (totals[0], totals[1]), not totals[1])
+    return every.repartition(parts, "g").sortWithinPartitions("g", "kind").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")

@@ -79,63 +79,44 @@ def test_leaks(spark, docs):
 
 
 def test_lm(spark, docs):
+    """Every score, by plain counts; odd rows and small batches too."""
     from kavsak.llm import lm_scoring as L
 
+    docs = [*docs, (10**6, None), (10**6 + 1, " \n"), (None, "one two one two"), (7, "one two one two"), (7, "one two one two")]
     labels = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
-    by_count = sorted(Counter(w for _, t in docs for w in brute.words(t)).items(), key=lambda x: -x[1])
-    vocabulary = len(by_count)  # no ties at the end of the vocabulary
-    size = vocabulary + 2
-
-    def model(ds):
-        one, two = Counter(), Counter()
-        for _, t in ds:
-            w = brute.words(t)
-            one.update(w)
-            two.update(zip([None, *w], w))
-        return one, two, Counter(a for a, _ in two.elements())
-
-    every, some = model(docs), model([d for d in docs if d[0] in labels])
-    kept = {k for k, c in every[1].items() if c > 1}
-
-    def loss(m, ws):
-        one, two, _ = m
-        history = lambda a: sum(1 for _, t in ds_of[id(m)] if brute.words(t)) if a is None else one[a]
-        out = []
-        for a, b in zip([None, *ws], ws):
-            h = max(cache[id(m)].setdefault(a, history(a)), 1)
-            rest = max(1 - mass[id(m)].get(a, 0) / h, 1e-9)
-            uni = (one[b] + 0.5) / (sum(one.values()) + 0.5 * size)
-            out.append(-np.log((max(two[a, b] - 0.75, 0) / h if (a, b) in kept else 0) + rest * uni))
-        return float(np.mean(out)) if out else 0.0
-
-    ds_of = {id(every): docs, id(some): [d for d in docs if d[0] in labels]}
-    cache = {id(every): {}, id(some): {}}
-    mass = {id(m): defaultdict(float) for m in (every, some)}
-    for m in (every, some):
-        for (a, b), c in m[1].items():
-            if (a, b) in kept:
-                mass[id(m)][a] += max(c - 0.75, 0)
-    target = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0")
-    got = {r["doc_id"]: r for r in L.lm_scoring(spark.read.parquet(f"{SF}/documents.parquet"), target, vocabulary).collect()}
-    assert len(got) == len(docs)
-    few = {r["doc_id"]: r for r in L.lm_scoring(spark.read.parquet(f"{SF}/documents.parquet"), target, vocabulary, most_pairs=200).collect()}
-    assert all(abs(few[d]["ce_diff"] - r["ce_diff"]) < 1e-9 and abs(few[d]["target_loss"] - r["target_loss"]) < 1e-9 for d, r in got.items())
-    for d, t in docs[::7]:
-        ws = brute.words(t)[:100] if len(brute.words(t)) <= 100 else None
-        if ws is not None:
-            assert abs(loss(some, ws) - loss(every, ws) - got[d]["ce_diff"]) < 1e-6
-
-
-def test_lm_keeps_rare_words(spark):
-    """The vocabulary broadcast changes no score: rarer words are joined, not merged into one."""
-    from kavsak.llm import lm_scoring as L
-
-    docs, target = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0")
-    full = {r["doc_id"]: r for r in L.lm_scoring(docs, target, 1 << 20).collect()}
-    for most, pairs in ((50, 1 << 20), (50, 30), (0, 0)):
-        got = {r["doc_id"]: r for r in L.lm_scoring(docs, target, most, pairs).collect()}
-        assert got.keys() == full.keys()
-        assert all(abs(r[c] - full[d][c]) < 1e-9 for d, r in got.items() for c in ("n_words", "target_loss", "background_loss", "ce_diff"))
+    ws = [brute.words(t) for _, t in docs]
+    own = [Counter(zip([None, *w], w)) for w in ws]
+
+    def model(chosen):
+        one, two, kept = Counter(), Counter(), defaultdict(float)
+        for i in chosen:
+            one.update(ws[i])
+            two.update(own[i])
+            one[None] += bool(ws[i])
+        for (a, _), c in two.items():
+            kept[a] += max(c - 0.75, 0)
+        return one, two, kept, sum(one.values()) - one[None]
+
+    every = range(len(docs))
+    models = model([i for i in every if docs[i][0] in labels]), model(every)
+    size = len(models[1][0]) - 1 + 2
+
+    def loss(m, i):
+        one, two, kept, total = m
+        learned = m is models[1] or docs[i][0] in labels
+        out = 0.0
+        for a, b in zip([None, *ws[i]], ws[i]):
+            h = max(one[a], 1)
+            c = two[a, b] - own[i][a, b] * learned
+            out -= np.log(max(c - 0.75, 0) / h + max(1 - kept[a] / h, 1e-9) * (one[b] + 0.5) / (total + 0.5 * size))
+        return out / max(1, len(ws[i]))
+
+    want = sorted((docs[i][0] or -1, len(ws[i]), loss(models[0], i), loss(models[1], i)) for i in every)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    target = spark.createDataFrame([(d,) for d in labels] + [(None,)], "doc_id long")
+    for options in ({}, {"vocabulary": 30, "batch": 3000, "pairs": 5000}, {"vocabulary": 0, "batch": 1}):
+        got = sorted((r["doc_id"] or -1, r["n_words"], r["target_loss"], r["background_loss"]) for r in L.lm_scoring(df, target, **options).collect())
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-9)
 
 
 def measured(spark, name, label, n, held):
