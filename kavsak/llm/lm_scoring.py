@@ -7,11 +7,11 @@ counts. When a document is scored, its own bigrams are taken from their counts f
 don't profit from having been learned from. A document's score is the mean over its words of the target's loss less the
 background's, in nats: the lower, the closer to the target.
 
-Texts travel once, packed in batches of about ``batch`` words: the batch's different words and, for each word of its texts,
-its number among them. Each batch sends its different bigrams, packed and sorted, to buckets by their first word (that of
-frequent first words also by the second, so that no bucket is hot), where all batches' counts are added up; what others
-have counted is sent back as a list in the same order. Counts of words are joined to the batches' words, only those of the
-``vocabulary`` most frequent words are broadcast. There are as many buckets as a task can hold of ``pairs`` bigrams.
+Texts are packed in batches of about ``batch`` words: the batch's different words and, for each word of its texts, its
+number among them. Each batch sends its words, and its different bigrams, as sorted lists to buckets: words by their hash,
+bigrams by that of their first word (frequent first words are dealt to several buckets by the second word, so that no bucket
+is hot). There all batches' counts are added up, and each list is answered by a list in the same order, which the batch is
+scored with. A bucket has about ``pairs`` bigrams, so their number grows with the input and their size doesn't.
 
 Words are case-sensitive runs of non-blanks, told apart by 64-bit hashes (in bigrams, second words by 48 bits). Null and
 blank texts have no words and score 0. Repeated rows all count and score alike. Extra columns are ignored. With no target
@@ -29,14 +29,18 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import materialise, small
 
-VOCABULARY, DISCOUNT, ADD, BATCH, PAIRS = 1 << 14, 0.75, 0.5, 1_000_000, 3_000_000
+DISCOUNT, ADD, BATCH, PAIRS = 0.75, 0.5, 2_000_000, 3_000_000
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 #: What stands before a document's first word.
 START = _U(0x5851F42D4C957F2D)
-PACKED = "g long, words binary, tokens binary, sizes binary, ids array<long>, hits binary"
-COUNTED = "g long, bucket int, more binary, n binary, m binary, w long, fn double, fm double"
+PACKED = "g long, size long, words binary, tokens binary, sizes binary, ids array<long>, hits binary"
+#: Lists of words to buckets (kind 2), what buckets know (0: words and counts; 1: of bigrams by first word) and answers.
+LISTS = "bucket int, kind int, g long, words binary, n binary, m binary, kinds binary, kinds_m binary"
+#: Lists of bigrams; answers have ``more``, a bit for each bigram that others have counted too, and how often.
+PAIR_LISTS = "bucket int, g long, h binary, runs binary, w binary, n binary, m binary"
+SCORES = "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double"
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -67,7 +71,7 @@ def pack(limit: int):
             w, sizes, ids, hits = (np.concatenate(x) for x in list(zip(*held)))
             words, at = np.unique(np.append(w, START), return_inverse=True)
             ids = [None if i is None else int(i) for i in ids]
-            return _batch({"g": [row], "words": [words.tobytes()], "tokens": [squeezed(at[:-1])], "sizes": [squeezed(sizes)], "ids": [ids], "hits": [hits.astype(np.uint8).tobytes()]}, PACKED)
+            return _batch({"g": [row], "size": [len(w)], "words": [words.tobytes()], "tokens": [squeezed(at[:-1])], "sizes": [squeezed(sizes)], "ids": [ids], "hits": [hits.astype(np.uint8).tobytes()]}, PACKED)
 
         for rows, data, off in T.chunks(batches):
             starts, ends, first = T.words(data, off)
@@ -134,100 +138,152 @@ def _rows(batches):
     T.release()
 
 
-def _count_words(batches):
-    for row in _rows(batches):
-        t = Texts(row | {"ids": None})
-        n, m = t.counts()
-        yield _batch({"w": t.words.view(np.int64), "n": n, "m": m}, "w long, n long, m long")
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """A stable order by bucket, and the buckets' parts of it."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])[: len(order)])
+    return order, [(int(bucket[order[a]]), slice(a, b)) for a, b in zip(cuts, np.append(cuts[1:], len(order)))]
 
 
-def _send(spread, buckets: int):
-    """Bigrams of each batch by bucket: runs of first words, 48 bits of second words, counts."""
+def _send_words(buckets: int):
+    """Words of each batch, with their counts there, by bucket."""
 
     def run(batches):
         for row in _rows(batches):
-            h, w, n, m, bucket, _ = Texts(row).bigrams(spread.value, buckets)
-            new = np.append(True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1]))[: len(h)]
-            low = (w >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(h)])
-            out = {c: [] for c in ("bucket", "g", "h", "runs", "w", "n", "m")}
-            for a, b in zip(cuts, np.append(cuts[1:], len(h))):
-                at = a + np.flatnonzero(new[a:b])
-                for c, x in (("bucket", int(bucket[a])), ("g", row["g"]), ("h", h[at].tobytes()), ("runs", squeezed(np.diff(np.append(at, b)))), ("w", low[a:b].tobytes()), ("n", squeezed(n[a:b])), ("m", squeezed(m[a:b]))):
-                    out[c].append(x)
-            if len(h):
-                yield _batch(out, "bucket int, g long, h binary, runs binary, w binary, n binary, m binary")
+            t = Texts(row)
+            n, m = t.counts()
+            order, parts = _by_bucket((T.mix(t.words) % _U(buckets)).astype(np.int64))
+            lists = [order[part] for _, part in parts]
+            yield _batch({"bucket": [b for b, _ in parts], "kind": [2] * len(parts), "g": [row["g"]] * len(parts), "words": [t.words[x].tobytes() for x in lists], "n": [squeezed(n[x]) for x in lists], "m": [squeezed(m[x]) for x in lists]}, LISTS)
 
     return run
 
 
-def _add_up(batches):
-    """Per message what the others of its bucket have counted of its bigrams; per first word the mass that its bigrams keep."""
-
-    def out(held: list[dict]):
-        h, w, n, m = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(r["h"], _U), unsqueezed(r["runs"])), np.pad(np.frombuffer(r["w"], np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel(), unsqueezed(r["n"]), unsqueezed(r["m"])) for r in held)))
-        order = np.lexsort((w, h))
-        new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
-        at = np.flatnonzero(new)
-        total = [np.add.reduceat(x[order], at) for x in (n, m)]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        del order
-        first = np.empty(len(at), _U)
-        first[which] = h
-        words, of = np.unique(first, return_inverse=True)
-        keep = [np.bincount(of, np.maximum(x - DISCOUNT, 0)) for x in total]
-        yield _batch({"w": words.view(np.int64), "fn": keep[0], "fm": keep[1]}, COUNTED)
-        more = [t[which] - x for t, x in zip(total, (n, m))]
-        cut = np.cumsum([0, *(len(r["w"]) // 6 for r in held)])
-        for r, a, b in zip(held, cut, cut[1:]):
-            some = more[0][a:b] > 0
-            yield _batch({"g": [r["g"]], "bucket": [r["bucket"]], "more": [np.packbits(some).tobytes()], "n": [squeezed(more[0][a:b][some])], "m": [squeezed(more[1][a:b][some])]}, COUNTED)
-
+def _grouped(batches):
+    """Rows of one bucket at a time; the input is sorted by bucket."""
     held: list[dict] = []
     for row in _rows(batches):
         if held and held[0]["bucket"] != row["bucket"]:
-            yield from out(held)
+            yield held
             held = []
         held.append(row)
     if held:
-        yield from out(held)
+        yield held
+
+
+def _add_words(batches):
+    """One list a bucket of all its words and their counts."""
+    for held in _grouped(batches):
+        w, n, m = (np.concatenate(x) for x in zip(*((np.frombuffer(r["words"], _U), unsqueezed(r["n"]), unsqueezed(r["m"])) for r in held)))
+        words, at = np.unique(w, return_inverse=True)
+        yield _batch({"bucket": [held[0]["bucket"]], "kind": [0], "words": [words.tobytes()], "n": [np.bincount(at, n).astype(np.int64).tobytes()], "m": [np.bincount(at, m).astype(np.int64).tobytes()]}, LISTS)
+
+
+def _sums(batches):
+    """Number of words, and their counts, START left out."""
+    for row in _rows(batches):
+        n, m = (np.frombuffer(row[c], np.int64) for c in ("n", "m"))
+        own = np.frombuffer(row["words"], _U) != START
+        yield _batch({"v": [int(own.sum())], "n": [int(n[own].sum())], "m": [int(m[own].sum())]}, "v long, n long, m long")
+
+
+def _frequent(least: float):
+    def run(batches):
+        for row in _rows(batches):
+            n = np.frombuffer(row["n"], np.int64)
+            often = n > least
+            yield _batch({"w": np.frombuffer(row["words"], np.int64)[often], "n": n[often]}, "w long, n long")
 
+    return run
+
+
+def _answer_words(batches):
+    """To each list of words, their counts, and the counts and numbers of bigrams that they begin."""
+    for held in _grouped(batches):
+        known = np.zeros(0, _U)
+        for r in held:
+            if r["kind"] == 0:
+                known = np.frombuffer(r["words"], _U)
+                stats = np.zeros((6, len(known)), np.int64)
+                stats[:2] = [np.frombuffer(r[c], np.int64) for c in ("n", "m")]
+            elif r["kind"] == 1:
+                at = np.searchsorted(known, np.frombuffer(r["words"], _U))
+                stats[2:, at] += [unsqueezed(r[c]) for c in ("n", "m", "kinds", "kinds_m")]
+            else:
+                at = np.searchsorted(known, np.frombuffer(r["words"], _U))
+                yield _batch({"kind": [1], "g": [r["g"]], "bucket": [r["bucket"]], "more": [b"".join(len(x).to_bytes(8, "little") + x for x in map(squeezed, stats[:, at]))]}, "kind int, g long, bucket int, more binary")
 
-def _ask(often):
-    """(g, w) of the batches' words whose counts aren't broadcast."""
+
+def _send(spread, buckets: int):
+    """Bigrams of each batch by bucket: runs of first words, 48 bits of second words, counts."""
 
     def run(batches):
         for row in _rows(batches):
-            words = np.frombuffer(row["words"], _U)
-            rare = words[~_find(often.value[0], words)[1]]
-            yield _batch({"g": np.full(len(rare), row["g"]), "w": rare.view(np.int64)}, "g long, w long")
+            h, w, n, m, bucket, _ = Texts(row).bigrams(spread.value, buckets)
+            new = np.append(True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1]))[: len(h)]
+            low = (w >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            out = {c: [] for c in ("bucket", "g", "h", "runs", "w", "n", "m")}
+            for b, part in _by_bucket(bucket)[1]:
+                at = part.start + np.flatnonzero(new[part])
+                for c, x in (("bucket", b), ("g", row["g"]), ("h", h[at].tobytes()), ("runs", squeezed(np.diff(np.append(at, part.stop)))), ("w", low[part].tobytes()), ("n", squeezed(n[part])), ("m", squeezed(m[part]))):
+                    out[c].append(x)
+            if len(h):
+                yield _batch(out, PAIR_LISTS)
 
     return run
 
 
-ALL = PACKED + ", bucket int, more binary, n binary, m binary, kind int, w long, wn long, wm long, fn double, fm double"
+def _add_pairs(buckets: int):
+    """Answers (kind 2) to lists of bigrams, and for the words that begin them (kind 1) counts and numbers of bigrams, in lists
+    to the words' buckets."""
 
+    def run(batches):
+        for held in _grouped(batches):
+            h, w, n, m = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(r["h"], _U), unsqueezed(r["runs"])), np.pad(np.frombuffer(r["w"], np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel(), unsqueezed(r["n"]), unsqueezed(r["m"])) for r in held)))
+            order = np.lexsort((w, h))
+            new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
+            at = np.flatnonzero(new)
+            total = [np.add.reduceat(x[order], at) for x in (n, m)]
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            words, of = np.unique(h[order[at]], return_inverse=True)
+            sums = [np.bincount(of, x).astype(np.int64) for x in (*total, total[0] > 0, total[1] > 0)]
+            for b, part in (by := _by_bucket((T.mix(words) % _U(buckets)).astype(np.int64)))[1]:
+                x = by[0][part]
+                yield _batch({"kind": [1], "bucket": [b], "words": [words[x].tobytes()]} | {c: [squeezed(v[x])] for c, v in zip(("n", "m", "kinds", "kinds_m"), sums)}, LISTS + ", more binary")
+            more = [t[which] - x for t, x in zip(total, (n, m))]
+            cut = np.cumsum([0, *(len(r["w"]) // 6 for r in held)])
+            for r, a, b in zip(held, cut, cut[1:]):
+                some = more[0][a:b] > 0
+                yield _batch({"kind": [2], "g": [r["g"]], "bucket": [r["bucket"]], "more": [np.packbits(some).tobytes()], "n": [squeezed(more[0][a:b][some])], "m": [squeezed(more[1][a:b][some])]}, LISTS + ", more binary")
+
+    return run
 
-def _score(often, spread, buckets: int, size: int, totals: tuple[int, int], same: bool):
-    """Scores of the texts of each batch, from its row (kind 0), counts of its rare words (1) and answers of the buckets (2)."""
 
-    def one(row: dict, words: list[pa.RecordBatch], answers: list[dict]):
+ALL = PACKED + ", kind int, bucket int, more binary, n binary, m binary"
+
+
+def _score(spread, buckets: int, size: int, totals: tuple[int, int], same: bool):
+    """Scores of the texts of each batch, from its row (kind 0) and the answers to its words (1) and bigrams (2)."""
+
+    def one(row: dict, answers: list[dict]):
         t = Texts(row)
-        stats = np.zeros((4, len(t.words)))
-        at, known = _find(often.value[0], t.words)
-        if known.any():
-            stats[:, known] = often.value[1][:, at[known]]
-        for b in words:
-            place = np.searchsorted(t.words, T.column(b, "w").to_numpy().view(_U))
-            stats[:, place] = [T.column(b, c).to_numpy() for c in ("wn", "wm", "fn", "fm")]
-        n, m, fn, fm = stats
+        stats = np.zeros((6, len(t.words)), np.int64)
         *_, pn, pm, bucket, at = t.bigrams(spread.value, buckets)
+        order, parts = _by_bucket((T.mix(t.words) % _U(buckets)).astype(np.int64))
+        place = {b: order[part] for b, part in parts}
         for r in answers:
-            a, b = np.searchsorted(bucket, r["bucket"]), np.searchsorted(bucket, r["bucket"], "right")
-            some = a + np.flatnonzero(np.unpackbits(np.frombuffer(r["more"], np.uint8), count=b - a))
-            pn[some] += unsqueezed(r["n"])
-            pm[some] += unsqueezed(r["m"])
+            if r["kind"] == 1:
+                raw = r["more"]
+                for k in range(6):
+                    end = 8 + int.from_bytes(raw[:8], "little")
+                    stats[k, place[r["bucket"]]], raw = unsqueezed(raw[8:end]), raw[end:]
+            else:
+                a, b = np.searchsorted(bucket, r["bucket"]), np.searchsorted(bucket, r["bucket"], "right")
+                some = a + np.flatnonzero(np.unpackbits(np.frombuffer(r["more"], np.uint8), count=b - a))
+                pn[some] += unsqueezed(r["n"])
+                pm[some] += unsqueezed(r["m"])
+        n, m, fn, fm = stats[0], stats[1], stats[2] - DISCOUNT * stats[4], stats[3] - DISCOUNT * stats[5]
         # what the text itself has counted is left out
         _, mine, times = np.unique(t.text * (len(pn) + 1) + at, return_inverse=True, return_counts=True)
         own = times[mine] if len(times) else at
@@ -239,35 +295,24 @@ def _score(often, spread, buckets: int, size: int, totals: tuple[int, int], same
             loss = np.append(0.0, np.cumsum(-np.log(np.maximum(c[at] - left - DISCOUNT, 0) / held_[t.before] + rest * uni)))
             losses.append((loss[t.first[1:]] - loss[t.first[:-1]]) / np.maximum(np.diff(t.first), 1))
         cols = {"doc_id": row["ids"], "n_words": np.diff(t.first), "target_loss": losses[0], "background_loss": losses[1], "ce_diff": losses[0] - losses[1]}
-        return _batch(cols, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")
+        return _batch(cols, SCORES)
 
     def run(batches):
-        row, words, answers = None, [], []
-        for batch in batches:
-            kind, at = T.column(batch, "kind").to_numpy(), 0
-            while at < len(kind):
-                if kind[at] == 1:
-                    g = T.column(batch, "g").to_numpy()
-                    stop = at + int(np.argmax(np.append((kind[at:] != 1) | (g[at:] != g[at]), True)))
-                    words.append(batch.select(["w", "wn", "wm", "fn", "fm"]).slice(at, stop - at))
-                    at = stop
-                    continue
-                found = {c: batch.column(k)[at].as_py() for k, c in enumerate(batch.schema.names)}
-                if kind[at] == 0:
-                    if row:
-                        yield one(row, words, answers)
-                    row, words, answers = found, [], []
-                else:
-                    answers.append(found)
-                at += 1
+        row, answers = None, []
+        for found in _rows(batches):
+            if found["kind"]:
+                answers.append(found)
+                continue
+            if row:
+                yield one(row, answers)
+            row, answers = found, []
         if row:
-            yield one(row, words, answers)
-        T.release()
+            yield one(row, answers)
 
     return run
 
 
-def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, batch: int = BATCH, pairs: int = PAIRS) -> DataFrame:
+def lm_scoring(docs: DataFrame, target_ids: DataFrame, batch: int = BATCH, pairs: int = PAIRS) -> DataFrame:
     """Per row: doc_id, n_words, target_loss, background_loss (means a word) and ce_diff. ``target_ids`` has doc_id."""
     spark = docs.sparkSession
     sc, parts = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,27 +320,21 @@ def lm_scoring(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABUL
     ids = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(True))
     marked = docs.join(small(ids, BROADCAST_IDS), docs.doc_id == F.col("t_id"), "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("hit"))
     packed = materialise(marked.mapInArrow(pack(batch), PACKED))
-    counts = materialise(packed.mapInArrow(_count_words, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
-    start = int(START.view(np.int64))
-    size, *totals = counts.where(F.col("w") != start).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    buckets = max(parts, -(-totals[0] // pairs))
-    # first words that would fill a quarter of a bucket are dealt to several by the second word; there are few of them
-    many = counts.where(F.col("n") * 4 * buckets > totals[0]).select("w", "n").toArrow()
+    buckets = max(parts, -(-(packed.agg(F.sum("size")).first()[0] or 0) // pairs))
+    dealt = lambda df, *then: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
+    lists = packed.mapInArrow(_send_words(buckets), LISTS)
+    words = materialise(dealt(lists).mapInArrow(_add_words, LISTS))
+    size, *totals = (x or 0 for x in words.mapInArrow(_sums, "v long, n long, m long").agg(F.sum("v"), F.sum("n"), F.sum("m")).first())
+    # first words that would fill a quarter of a bucket, there are few, go to several
+    many = words.mapInArrow(_frequent(totals[0] / (4 * buckets)), "w long, n long").toArrow()
     key = many.column("w").to_numpy().view(_U)
     order = np.argsort(key)
     share = np.minimum(np.ceil(4 * buckets * many.column("n").to_numpy()[order] / max(1, totals[0])), buckets).astype(_U)
     spread = sc.broadcast((key[order], share))
-    sent = packed.mapInArrow(_send(spread, buckets), "bucket int, g long, h binary, runs binary, w binary, n binary, m binary")
-    added = materialise(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, COUNTED))
-    freed = added.where("w is not null").groupBy("w").agg(F.sum("fn").alias("fn"), F.sum("fm").alias("fm"))
-    zero = F.lit(0.0)
-    words = materialise(counts.join(freed, "w", "left").select("w", F.col("n").alias("wn"), F.col("m").alias("wm"), F.coalesce("fn", zero).alias("fn"), F.coalesce("fm", zero).alias("fm")), counts)
-    top = words.orderBy(F.desc("wn"), "w").limit(vocabulary).toArrow()
-    key = top.column("w").to_numpy().view(_U)
-    order = np.argsort(key)
-    often = sc.broadcast((key[order], np.array([top.column(c).to_numpy()[order] for c in ("wn", "wm", "fn", "fm")], np.float64).reshape(4, len(order))))
-    asked = packed.mapInArrow(_ask(often), "g long, w long").join(words, "w").withColumn("kind", F.lit(1))
-    own, answers = packed.withColumn("kind", F.lit(0)), added.where("w is null").select("g", "bucket", "more", "n", "m", F.lit(2).alias("kind"))
-    every = own.unionByName(asked, True).unionByName(answers, True).select(*(c.split(" ")[0] for c in ALL.split(", ")))
-    score = _score(often, spread, buckets, size + 2, (totals[0], totals[1]), not totals[1])
-    return every.repartition(parts, "g").sortWithinPartitions("g", "kind").mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")
+    pairs_ = materialise(dealt(packed.mapInArrow(_send(spread, buckets), PAIR_LISTS)).mapInArrow(_add_pairs(buckets), LISTS + ", more binary"))
+    asked = words.unionByName(pairs_.where("kind = 1").drop("more")).unionByName(lists.drop("n", "m"), True)
+    answers = dealt(asked, "kind").mapInArrow(_answer_words, "kind int, g long, bucket int, more binary")
+    every = packed.withColumn("kind", F.lit(0)).unionByName(answers, True).unionByName(pairs_.where("kind = 2").select("kind", "g", "bucket", "more", "n", "m"), True)
+    every = every.select(*(c.split(" ")[0] for c in ALL.split(", ")))
+    score = _score(spread, buckets, size + 2, (totals[0], totals[1]), not totals[1])
+    return every.repartition(parts, "g").sortWithinPartitions("g", "kind").mapInArrow(score, SCORES)

@@ -114,7 +114,7 @@ def test_lm(spark, docs):
     want = sorted((docs[i][0] or -1, len(ws[i]), loss(models[0], i), loss(models[1], i)) for i in every)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     target = spark.createDataFrame([(d,) for d in labels] + [(None,)], "doc_id long")
-    for options in ({}, {"vocabulary": 30, "batch": 3000, "pairs": 5000}, {"vocabulary": 0, "batch": 1}):
+    for options in ({}, {"batch": 3000, "pairs": 5000}, {"batch": 1}):
         got = sorted((r["doc_id"] or -1, r["n_words"], r["target_loss"], r["background_loss"]) for r in L.lm_scoring(df, target, **options).collect())
         assert len(got) == len(want) and np.allclose(got, want, atol=1e-9)
 
