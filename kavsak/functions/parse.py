@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,13 +43,13 @@ SEPARATORS = ((r"(?<=\D)[.,](?=\D)", " "), (r"(?<=\D)[.,](?=\d)", " "), (r"(?<=\
 def clean_a(x: Column, strict: bool = True) -> Column:
     """The first cleaner: punctuation that separates nothing goes, abbreviations are expanded."""
     rules = ABBREVIATIONS_A if strict else tuple((rf"{p}(?![^\W\d_])" if p.endswith(":?") else p, r) for p, r in ABBREVIATIONS_A)
-    x = T.substitute(T.tr_lower(F.coalesce(x, F.lit(""))), (*SEPARATORS, (r"[;:|]+", " "), *rules))
+    x = T.substitute(T.tr_lower(T.nfkc(F.coalesce(x, F.lit("")))), (*SEPARATORS, (r"[;:|]+", " "), *rules))
     return T.collapse(T.substitute(x, ((r"\bd\s+(?=\d)", "daire "), (r"\bno\s*[:\-]?\s*(\d+)", r"no \1"), (r"(\d+)\.(sokak|cadde|mahalle)\b", r"\1 \2"), (r"(?<!\d)/(?!\d)", " / "))))
 
 
 def clean_c(x: Column) -> Column:
     """The file cleaner: as the first one, but only letters, digits, blanks and ./- stay."""
-    x = F.regexp_replace(T.tr_lower(F.coalesce(x, F.lit(""))), r"\r?\n", " ")
+    x = F.regexp_replace(T.tr_lower(T.nfkc(F.coalesce(x, F.lit("")))), r"\r?\n", " ")
     x = T.substitute(x, (*SEPARATORS, (r"[(){}\[\]!?]+", " "), (r"\s*[:;|]\s*", " ")))
     x = F.regexp_replace(x, r"(?iuU)[^0-9a-zçğıöşü\s./\-]", " ")
     x = T.substitute(x, ((r"(\d+)\.(sokak|cadde|mahalle)\b", r"\1 \2"), (r"(?<!\d)/(?!\d)", " / "), *ABBREVIATIONS_C))
@@ -210,3 +211,22 @@ def signature(cleaned: Column, parts: Column) -> Column:
 def weak_labels(tokens: Column, neighbourhoods: Sequence[str], provinces: Sequence[str], districts: Sequence[str]) -> Column:
     """A tag for each token: neighbourhoods win, then districts, then provinces."""
     return F.transform(tokens, lambda t: F.when(t.isin(*neighbourhoods), "B-MAHALLE").when(t.isin(*districts), "B-ILCE").when(t.isin(*provinces), "B-IL").otherwise("O"))
+
+
+def by_patterns(x: Column, patterns: Mapping[str, str]) -> Column:
+    """A struct of the first group (or the match, without a group) of each configured pattern, NULL where it isn't found."""
+    first = lambda p: extract(x, p, 1 if re.compile(p).groups else 0)
+    return F.struct(*(first(p).alias(name) for name, p in patterns.items()))
+
+
+def side_text(parts: Column) -> Column:
+    """All ten parts, joined by blanks after a leading one."""
+    return F.concat(F.lit(" "), F.concat_ws(" ", *(parts.getField(k) for k in PARTS)))
+
+
+def prediction(cleaned: Column, parts: Column, mode: str) -> Column:
+    """What is predicted from: the cleaned text, or its parts as JSON or as text."""
+    forms = {"normalized": cleaned, "parts_json": parts_json(parts), "parts_string": parts_text(parts)}
+    if mode not in forms:
+        raise ValueError(f"mode must be one of {', '.join(forms)}")
+    return forms[mode]

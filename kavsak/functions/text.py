@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -32,19 +33,11 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf(StringType())
-def unmojibake(x: pd.Series) -> pd.Series:
+def unmojibake(x: Column) -> Column:
     """UTF-8 that was read as latin-1 is read again; any text for which that fails stays as it is."""
-
-    def one(s):
-        if s is None or not re.search("[ÃÄÅ]", s):
-            return s
-        try:
-            return s.encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            return s
-
-    return x.map(one)
+    # characters beyond latin-1 have no such bytes; encoding them fails, so they are replaced where the result isn't used
+    raw = F.encode(F.regexp_replace(x, "[^\\x00-\\xff]", "?"), "ISO-8859-1").cast("string")
+    return F.when(x.rlike("[ÃÄÅ]") & ~x.rlike("[^\\x00-\\xff]") & F.is_valid_utf8(raw), raw).otherwise(x)
 
 
 def fold(x: Column) -> Column:
@@ -60,14 +53,28 @@ def strip_punctuation(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)[^\w\s]", " ")
 
 
+def java_pattern(pattern: str) -> str | None:
+    """A Python pattern for Java, or None if either rejects it."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    context = SparkContext._active_spark_context
+    if context:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(f"(?U){pattern}")
+        except Exception:  # noqa: BLE001  what the JVM throws comes in several wrappings
+            return None
+    return pattern
+
+
 def substitute(x: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Rules in order; a pattern that Java rejects is skipped, as is \\1 turned into $1."""
+    """Rules in order; a pattern that Python or Java rejects is skipped, \\1 is turned into $1."""
     for pattern, to in rules:
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        x = F.regexp_replace(x, f"(?U){pattern}", re.sub(r"\\(\d)", r"$\1", to))
+        found = java_pattern(pattern)
+        if found is not None:
+            x = F.regexp_replace(x, f"(?U){found}", re.sub(r"\\(\d)", r"$\1", to))
     return x
 
 
@@ -95,6 +102,16 @@ def null_tokens(x: Column) -> Column:
     return F.when(x.isNull() | F.lower(F.trim(x)).isin("nan", "none"), F.lit("")).otherwise(x)
 
 
+def hygiene(df: DataFrame) -> DataFrame:
+    """Every string column on one line, without blanks at its ends."""
+    return df.select(*(one_line(F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once: a generator, which the optimizer doesn't copy into what uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def one_line(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\r?\n", " "), r"(?U)^\s+|\s+$", "")
 
@@ -131,16 +148,15 @@ def normalize(x: Column, config: NormalizeConfig = NormalizeConfig()) -> Column:
     return collapse(x) if config.strip_extra_spaces else x
 
 
-#: Words that the token normalizers replace; a dotted word is looked up as it is, then without its dots.
+#: Words that both token normalizers replace; a dotted word is looked up as it is, then without its dots.
 WORDS = {
-    "mah": "mahalle", "mh": "mahalle", "mah.": "mahalle", "mahallesi": "mahalle", "cad": "caddesi", "cd": "caddesi", "cad.": "caddesi", "cadd.": "caddesi", "caddesi": "caddesi",
+    "mah": "mahalle", "mah.": "mahalle", "mahallesi": "mahalle", "cad": "caddesi", "cad.": "caddesi", "cadd.": "caddesi", "caddesi": "caddesi",
     "sk": "sokak", "sk.": "sokak", "sok": "sokak", "sok.": "sokak", "blv": "bulvarı", "blv.": "bulvarı", "bulv.": "bulvarı", "bulv": "bulvarı", "bulvari": "bulvarı", "bulvar": "bulvarı",
     "no": "no", "no.": "no", "kat.": "kat", "daire": "daire", "dr.": "doktor",
 }
-#: What the inline normalizer knows besides.
-MORE_WORDS = {"mh.": "mahalle", "cd.": "caddesi", "sokağı": "sokak", "sokaği": "sokak"}
-#: What it doesn't know.
-LESS_WORDS = ("mh", "cd")
+#: What only the first of them knows, and what only the inline normalizer knows.
+TOKEN_WORDS = {"mh": "mahalle", "cd": "caddesi"}
+INLINE_WORDS = {"mh.": "mahalle", "cd.": "caddesi", "sokağı": "sokak", "sokaği": "sokak"}
 
 
 def expand(tokens: Column, words: Mapping[str, str]) -> Column:
@@ -155,12 +171,16 @@ def _plain(x: Column) -> Column:
 
 def address_tokens(x: Column) -> Column:
     """Tokens of letters, digits, dots, slashes and dashes, abbreviations expanded."""
-    return expand(F.regexp_extract_all(collapse(_plain(x)), F.lit("[A-Za-zÇĞİÖŞÜçğıöşü0-9./-]+"), F.lit(0)), WORDS)
+    return expand(F.regexp_extract_all(collapse(_plain(x)), F.lit("[A-Za-zÇĞİÖŞÜçğıöşü0-9./-]+"), F.lit(0)), WORDS | TOKEN_WORDS)
 
 
 def normalize_inline(x: Column) -> Column:
     """The one-step normalizer: composed, lower case, runs of marks give their first, digits apart by a blank are joined."""
     x = collapse(F.regexp_replace(_plain(nfkc(x)), "([.,/-])[.,/-]+", "$1"))
     x = F.regexp_replace(x, r"(?<=\d)\s+(?=\d)", "")
-    words = {k: v for k, v in (WORDS | MORE_WORDS).items() if k not in LESS_WORDS}
-    return F.array_join(expand(F.split(x, " "), words), " ")
+    return F.array_join(expand(F.split(x, " "), WORDS | INLINE_WORDS), " ")
+
+
+def array_text(x: Column) -> Column:
+    """Tokens of ``address_tokens``, joined by blanks."""
+    return F.array_join(address_tokens(x), " ")

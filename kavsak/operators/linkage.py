@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ordinal import positions
+
 #: Radius of the earth in km; letters and digits that block keys keep.
 EARTH_KM, KEPT = 6371.0088, "[^a-z0-9ğüşöçıİ]"
 
@@ -19,18 +23,45 @@ def first_digits(x: Column) -> Column:
     return F.regexp_extract(F.coalesce(x, F.lit("")), r"\d+", 0)
 
 
-def block_key(text: Column, mode: str, pair: tuple[Column, Column] | None = None) -> Column:
-    """prefixN, digits+prefixN, province+district (NULLs fall back to prefix8), or one block for anything else."""
+#: Names of columns, in the order in which they are looked at.
+ADMIN = (("il", "ilce"), ("province", "district"), ("city", "county"))
+LATITUDES, LONGITUDES = ("lat", "latitude", "enlem"), ("lon", "lng", "longitude", "boylam")
+
+
+def block_key(text: Column, mode: str, pairs: Sequence[tuple[Column, Column]] = ()) -> Column:
+    """prefixN, digits+prefixN, province+district (the first pair with a value; without one prefix8), or one block for all else."""
     if mode.startswith("digits+prefix"):
         return F.concat_ws("|", first_digits(text), F.substring(alnum(text), 1, int(mode.removeprefix("digits+prefix"))))
     if mode.startswith("prefix"):
         return F.substring(alnum(text), 1, int(mode.removeprefix("prefix")))
-    if mode == "province+district" and pair is not None:
-        a, b = (F.trim(F.lower(F.coalesce(x, F.lit("")))) for x in pair)
-        return F.when((a != "") | (b != ""), F.concat_ws("|", a, b)).otherwise(F.substring(alnum(text), 1, 8))
+    if mode == "province+district" and pairs:
+        cleaned = [tuple(F.trim(F.lower(F.coalesce(x, F.lit("")))) for x in pair) for pair in pairs]
+        return F.coalesce(*(F.when((a != "") | (b != ""), F.concat_ws("|", a, b)) for a, b in cleaned), F.substring(alnum(text), 1, 8))
     return F.lit("")
 
 
+def admin_pairs(df: DataFrame) -> list[tuple[Column, Column]]:
+    """Province and district columns that ``df`` has; one of a pair is enough."""
+    has = lambda c: df[c] if c in df.columns else F.lit(None).cast("string")
+    return [(has(a), has(b)) for a, b in ADMIN if a in df.columns or b in df.columns]
+
+
+def places(df: DataFrame) -> DataFrame:
+    """``df`` with ``lat`` and ``lon`` as numbers, from the last of their names that holds one."""
+
+    def found(names: Sequence[str]) -> Column:
+        values = [F.expr(f"try_cast(`{c}` AS double)") for c in reversed(names) if c in df.columns]
+        return F.coalesce(*values) if values else F.lit(None).cast("double")
+
+    return df.withColumns({"lat": found(LATITUDES), "lon": found(LONGITUDES)})
+
+
+def rescored(df: DataFrame) -> DataFrame:
+    """``df`` with the confidence that its text score alone gives."""
+    null = F.lit(None).cast("double")
+    return df.withColumn("confidence", combine(F.col("score").cast("double"), null, null, (0.8, 0.15, 0.05)))
+
+
 def digit_runs(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)))
 
@@ -95,9 +126,10 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
-    starts = range(-n + 1, len(long))
-    return max(ratio(short, long[max(i, 0) : i + n]) for i in starts)
+    n, letters = len(short), set(short)
+    # a best stretch inside the longer string begins with a letter of the shorter one, or lies at an end
+    starts = [i for i in range(-n + 1, len(long)) if i <= 0 or i + n > len(long) or long[i] in letters]
+    return max(ratio(short, x) for x in {long[max(i, 0) : i + n] for i in starts})
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -125,32 +157,63 @@ def _udf(f):
 SCORERS = {"ratio": _udf(ratio), "partial_ratio": _udf(partial_ratio), "token_set_ratio": _udf(token_set_ratio), "levenshtein": levenshtein_ratio}
 
 
-def candidates(left: DataFrame, right: DataFrame, mode: str, gate_stopwords: tuple[str, ...] = ()) -> DataFrame:
+#: Lengths up to which distances are cut off early.
+LENGTHS = (32, 48, 64, 96, 128)
+
+
+def candidates(left: DataFrame, right: DataFrame, mode: str, gate_stopwords: tuple[str, ...] = (), salt: int = 1) -> DataFrame:
     """Pairs within a block. Sides have id, text and, where the mode asks, province and district; others keep their names.
+    What scores need of one side alone (runs of digits, words) is computed once a row, before the join.
 
-    An empty mode joins all with all, so the right side has to be small. Blocks are joined by key: large ones are split by
-    adaptive execution. Stop words, if given, let only pairs with another word in common pass, before any scoring.
+    An empty mode joins all with all, so the right side has to be small. Blocks are joined by key: ``salt`` cuts each into so
+    many parts by the left row's id, for which right rows are copied. Stop words, if given, let only pairs with another word
+    in common pass, before any scoring.
     """
-    pair = lambda df: (df["province"], df["district"]) if {"province", "district"} <= set(df.columns) else None
-    sides = [df.select(block_key(df["text"], mode, pair(df)).alias("block"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns)) for df, name in ((left, "left"), (right, "right"))]
-    out = sides[0].join(sides[1], "block")
+    sides = []
+    for df, name in ((left, "left"), (right, "right")):
+        more = {"runs": digit_runs(df["text"])}
+        if gate_stopwords:
+            more["words"] = F.array_except(F.split(df["text"], r"\s+"), F.array(*(F.lit(w) for w in gate_stopwords)))
+        part = F.pmod(F.xxhash64(df["id"]), F.lit(salt)) if name == "left" else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
+        sides.append(df.select(block_key(df["text"], mode, admin_pairs(df)).alias("block"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns), *(v.alias(f"{name}_{k}") for k, v in more.items()), part.alias("part")))
+    out = sides[0].join(sides[1], ["block", "part"]).drop("part")
     if gate_stopwords:
-        words = lambda x: F.array_except(F.split(F.col(x), r"\s+"), F.array(*(F.lit(w) for w in gate_stopwords)))
-        out = out.where(F.arrays_overlap(words("left_text"), words("right_text")))
+        out = out.where(F.arrays_overlap("left_words", "right_words")).drop("left_words", "right_words")
     return out
 
 
+def _distance(a: Column, b: Column, least: float) -> Column:
+    """``levenshtein_ratio`` if it is at least ``least``, else NULL (for long texts, the ratio anyway). The distance is given up
+    where it can't be small enough."""
+    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
+    share = 1 - least / 100
+    out = F.levenshtein(a, b)
+    for n in reversed(LENGTHS):
+        out = F.when(longest <= n, F.levenshtein(a, b, int(share * n) + 1)).otherwise(out)
+    return F.element_at(F.transform(F.array(out), lambda d: F.when(d >= 0, 100.0 * (1 - d / longest))), 1)
+
+
+def _least_text(weights: tuple[float, float, float], least: float, geo: bool) -> float:
+    """The text score without which no pair reaches ``least``, whatever its other scores."""
+    t, d, g = weights
+    return max(0.0, min(((least - 0.01) * w - 100 * (w - t)) / t for w in ((t + d, t + d + g) if geo else (t + d,)))) if t else 0.0
+
+
 def scored(pairs: DataFrame, scorer: str, weights: tuple[float, float, float], least: float, geo_km: float | None = None) -> DataFrame:
     """Pairs with a ``score`` of at least ``least``. A bound with the text score at 100 drops hopeless ones before scoring."""
-    digits = digits_score(F.col("left_text"), F.col("right_text"))
+    digits = F.when(F.coalesce(F.arrays_overlap("left_runs", "right_runs"), F.lit(False)), 100.0).otherwise(0.0)
     geo = F.lit(None).cast("double")
     if geo_km is not None:
-        places = [F.expr(f"try_cast({c} AS double)") for c in ("left_lat", "left_lon", "right_lat", "right_lon")]
-        geo = F.when(sum((p.isNull().cast("int") for p in places), F.lit(0)) == 0, geo_score(haversine_km(*places), geo_km))
-    df = pairs.withColumns({"digits": digits, "geo": geo})
+        at = [F.expr(f"try_cast({c} AS double)") for c in ("left_lat", "left_lon", "right_lat", "right_lon")]
+        geo = F.when(sum((p.isNull().cast("int") for p in at), F.lit(0)) == 0, geo_score(haversine_km(*at), geo_km))
+    # generators, so that a score is computed once and not again in each filter above it
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    df = once(pairs, "_others", F.struct(digits.alias("digits"), geo.alias("geo"))).select("*", "_others.*").drop("_others", "left_runs", "right_runs")
     df = df.where(combine(F.lit(100.0), F.col("digits"), F.col("geo"), weights) >= least - 0.01)
-    text = SCORERS.get(scorer, SCORERS["token_set_ratio"])(F.col("left_text"), F.col("right_text"))
-    return df.withColumn("text_score", text).withColumn("score", combine(F.col("text_score"), F.col("digits"), F.col("geo"), weights)).where(F.col("score") >= least)
+    a, b = F.col("left_text"), F.col("right_text")
+    text = _distance(a, b, _least_text(weights, least, geo_km is not None)) if scorer == "levenshtein" else SCORERS.get(scorer, SCORERS["token_set_ratio"])(a, b)
+    df = once(df, "text_score", text).where("text_score IS NOT NULL")
+    return once(df, "score", combine(F.col("text_score"), F.col("digits"), F.col("geo"), weights)).where(F.col("score") >= least)
 
 
 def best(matches: DataFrame, k: int, per: str = "left_id", order: str = "right_id") -> DataFrame:
@@ -161,10 +224,17 @@ def best(matches: DataFrame, k: int, per: str = "left_id", order: str = "right_i
 
 def by_position(left: DataFrame, right: DataFrame, order: str = "id") -> DataFrame:
     """The i-th row of one side with the i-th of the other, in ``order``; score 1."""
-    number = lambda df, name: df.rdd.map(lambda r: r[order]).sortBy(lambda x: x).zipWithIndex().toDF(f"{name} long, i long")
+    number = lambda df, name: positions(df.select(F.col(order).alias(name)), name, "i")
     return number(left, "left_id").join(number(right, "right_id"), "i").select("left_id", "right_id", F.lit(1.0).alias("score"))
 
 
+def attached(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """The columns of the i-th row of ``right`` beside those of the i-th of ``left``; names both have are taken from the left."""
+    more = [c for c in right.columns if c not in left.columns]
+    a, b = positions(left, left_order, "_i"), positions(right, right_order, "_j").select("_j", *more)
+    return a.join(b, F.col("_i") == F.col("_j"), "left").select(*left.columns, *more)
+
+
 def unmatched(side: DataFrame, matches: DataFrame, matched_id: str) -> DataFrame:
     """Rows of a side whose id has no match."""
     ids = matches.select(F.col(matched_id).alias("_m")).distinct()

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import profile as R
 from ..operators import quality as Q
 from ..operators import retrieval as V
+from ..operators.ordinal import positions
 from ..sources import files
 
 #: name -> (function of a reader of tables, SQL or None)
@@ -66,7 +67,7 @@ WEIGHTS, LEAST = (0.8, 0.15, 0.05), 80.0
 
 def linked(t, k: int = 3) -> DataFrame:
     left, right = sides(t)
-    return L.best(L.scored(L.candidates(left, right, "province+district"), "levenshtein", WEIGHTS, LEAST), k).select("left_id", "right_id", "score")
+    return L.best(L.scored(L.candidates(left, right, "province+district", salt=8), "levenshtein", WEIGHTS, LEAST), k).select("left_id", "right_id", "score")
 
 
 TOP = f"{{S}}, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS n FROM ({PAIRS}) WHERE score >= 80) WHERE n <= 3)"
@@ -115,25 +116,20 @@ def link_geo(t):
 @query("WITH {S} SELECT l.id AS left_id, r.id AS right_id, %s::DOUBLE AS digits FROM l JOIN r ON l.province = r.province" % DIGITS)
 def link_digits(t):
     left, right = sides(t)
-    return L.candidates(left, right, "province+district").select("left_id", "right_id", L.digits_score(F.col("left_text"), F.col("right_text")).alias("digits"))
+    return L.candidates(left, right, "province+district").select("left_id", "right_id", F.when(F.arrays_overlap("left_runs", "right_runs"), 100.0).otherwise(0.0).alias("digits"))
 
 
 @query("WITH {S} SELECT left_id, right_id, score FROM (SELECT l.id AS left_id, r.id AS right_id, round((%s * 0.8 + %s * 0.15 + 100.0 * (1 - least(greatest(%s, 0.0), 50.0) / 50.0) * 0.05) / 1.0, 2) AS score FROM l JOIN r ON l.province = r.province) WHERE score >= 75" % (RATIO, DIGITS, KM))
 def link_combined(t):
     left, right = sides(t)
-    return L.scored(L.candidates(left, right, "province+district"), "levenshtein", WEIGHTS, 75.0, 50.0).select("left_id", "right_id", "score")
+    return L.scored(L.candidates(left, right, "province+district", salt=8), "levenshtein", WEIGHTS, 75.0, 50.0).select("left_id", "right_id", "score")
 
 
-@query("WITH {S} SELECT left_id, right_id, score FROM (SELECT l.id AS left_id, r.id AS right_id, round((%s * 0.8 + %s * 0.15) / 0.95, 2) AS score FROM l CROSS JOIN r WHERE r.id <= 20) WHERE score >= 95" % (RATIO, DIGITS))
+@query("WITH {S} SELECT left_id, right_id, score FROM (SELECT l.id AS left_id, r.id AS right_id, round((%s * 0.8 + %s * 0.15) / 0.95, 2) AS score FROM l CROSS JOIN r WHERE r.id %% 50 = 0) WHERE score >= 95" % (RATIO, DIGITS))
 def link_unblocked(t):
+    """Without blocks: the stated query set, suppliers whose id is divisible by 50, against all customers."""
     left, right = sides(t)
-    return L.scored(L.candidates(left, F.broadcast(right.where("id <= 20")), ""), "levenshtein", WEIGHTS, 95.0).select("left_id", "right_id", "score")
-
-
-@query("WITH {S} SELECT left_id, right_id, score FROM (SELECT l.id AS left_id, r.id AS right_id, round((%s * 0.8 + %s * 0.15) / 0.95, 2) AS score FROM l CROSS JOIN r) WHERE score >= 95" % (RATIO, DIGITS))
-def link_unblocked_all(t):
-    left, right = sides(t)
-    return L.scored(L.candidates(left, F.broadcast(right), ""), "levenshtein", WEIGHTS, 95.0).select("left_id", "right_id", "score")
+    return L.scored(L.candidates(left, right.where("id % 50 = 0"), "", salt=8), "levenshtein", WEIGHTS, 95.0).select("left_id", "right_id", "score")
 
 
 STOPS = ("mah.", "cad.", "kat", "nation")
@@ -147,19 +143,19 @@ def link_gate(t):
 @query()
 def link_ratio(t):
     left, right = sides(t)
-    return L.scored(L.candidates(left, right, "province+district"), "ratio", WEIGHTS, 80.0).select("left_id", "right_id", "score")
+    return L.scored(L.candidates(left, right, "province+district", salt=8), "ratio", WEIGHTS, 80.0).select("left_id", "right_id", "score")
 
 
 @query()
 def link_partial_ratio(t):
     left, right = sides(t)
-    return L.best(L.scored(L.candidates(left, right, "province+district"), "partial_ratio", WEIGHTS, 80.0), 1).select("left_id", "right_id", "score")
+    return L.best(L.scored(L.candidates(left, right, "province+district", salt=8), "partial_ratio", WEIGHTS, 80.0), 1).select("left_id", "right_id", "score")
 
 
 @query()
 def link_token_set(t):
     left, right = sides(t)
-    return L.scored(L.candidates(left, right, "province+district"), "token_set_ratio", WEIGHTS, 80.0).select("left_id", "right_id", "score")
+    return L.scored(L.candidates(left, right, "province+district", salt=8), "token_set_ratio", WEIGHTS, 80.0).select("left_id", "right_id", "score")
 
 
 ALNUM = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
@@ -178,7 +174,7 @@ def block_digits_prefix6(t):
 @query("WITH {S} SELECT id, concat(lower(province), '|x') AS block FROM l")
 def block_province(t):
     left, _ = sides(t)
-    return left.select("id", L.block_key(F.col("text"), "province+district", (F.col("province"), F.col("district"))).alias("block"))
+    return left.select("id", L.block_key(F.col("text"), "province+district", [(F.col("province"), F.col("district"))]).alias("block"))
 
 
 @query("SELECT doc_id, md5(lower(text)) AS out FROM documents")
@@ -235,64 +231,83 @@ def parse_mevkii(t):
     return cleaned(t).select("id", P.locality(F.col("t")).alias("mevkii"))
 
 
-@query("WITH {P} SELECT id, nullif(regexp_extract(t, '\\b(gul|no [0-9/]+ kat [0-9]) apartman', 1), '') || ' apartman' AS x FROM clean WHERE id % 4 <> 1 AND false")
-def parse_building_none(t):
-    return cleaned(t).where("id % 4 <> 1").select("id", P.building(F.col("t"), P.TRIGGERS_A).alias("x")).where("x IS NOT NULL")
-
-
-@query()
+@query("WITH {P} SELECT id, CASE WHEN regexp_matches(t, '\\bapartman\\b') THEN array_to_string(list_slice(regexp_extract_all(regexp_extract(t, '^(.*?)\\bapartman\\b', 1), '[a-z-]+'), -2, -1), ' ') || ' apartman' END AS x FROM clean")
 def parse_building(t):
     return cleaned(t).select("id", P.building(F.col("t"), P.TRIGGERS_A).alias("x"))
 
 
-@query("WITH {P} SELECT id, CASE id % 3 WHEN 0 THEN 'izmir' WHEN 1 THEN 'ankara' ELSE 'bursa' END AS il, CASE id % 3 WHEN 0 THEN 'bodrum' WHEN 1 THEN 'konak' END AS ilce FROM clean")
+@query("WITH {P}, p AS (SELECT id, list_reverse(string_split(t, '/')) AS p FROM clean), f AS (SELECT id, list_filter(list_transform(p, lambda x: list_filter(%s, lambda w: list_contains(string_split(x, ' '), w))), lambda h: len(h) > 0) AS il, list_filter(list_transform(p, lambda x: list_filter(%s, lambda w: list_contains(string_split(x, ' '), w))), lambda h: len(h) > 0) AS ilce FROM p) SELECT id, il[1][1] AS il, ilce[1][1] AS ilce FROM f" % (list(P.PROVINCES_A), list(P.DISTRICTS_A)))
 def parse_city(t):
     x = F.col("t")
     return cleaned(t).select("id", P.hinted(x, P.PROVINCES_A).alias("il"), P.hinted(x, P.DISTRICTS_A).alias("ilce"))
 
 
-@query("WITH {P} SELECT id, CASE WHEN id % 3 = 2 THEN 'bursa' END AS il, CASE WHEN id % 3 = 2 THEN 'merkez' END AS ilce FROM clean")
+@query("WITH {P} SELECT id, nullif(regexp_extract(t, '(?:^| )([a-z]+) (izmir|ankara|bursa)$', 2), '') AS il, nullif(regexp_extract(t, '(?:^| )([a-z]+) (izmir|ankara|bursa)$', 1), '') AS ilce FROM clean")
 def city_tail(t):
     il, ilce = P.tail_city(F.split("t", " "), ("izmir", "ankara", "bursa"))
-    return cleaned(t).select("id", F.when(F.col("id") % 3 == 2, il).alias("il"), F.when(F.col("id") % 3 == 2, ilce).alias("ilce"))
+    return cleaned(t).select("id", il.alias("il"), ilce.alias("ilce"))
 
 
-@query()
-def city_tail_all(t):
-    il, ilce = P.tail_city(F.split("t", " "), ("izmir", "ankara", "bursa"))
-    return cleaned(t).select("id", il.alias("il"), ilce.alias("ilce"))
+#: All ten components, each lacking in some rows, in words that both dialects know.
+COMPOSED = {
+    "mahalle": "CASE WHEN id % 5 > 0 THEN 'ataturk' END",
+    "cadde": "CASE WHEN id % 7 > 2 THEN concat('cadde ', id % 11) END",
+    "sokak": "CASE WHEN id % 3 > 0 THEN cast(id % 500 + 1000 AS varchar(9)) END",
+    "no": "CASE WHEN id % 13 > 1 THEN cast(id % 97 + 1 AS varchar(9)) END",
+    "daire": "CASE WHEN id % 2 = 0 THEN cast(id % 9 + 1 AS varchar(9)) END",
+    "kat": "CASE WHEN id % 6 > 3 THEN '2' END",
+    "bina_adi": "CASE WHEN id % 4 = 1 THEN 'gul apartman' END",
+    "mevkii": "CASE WHEN id % 4 = 0 THEN 'cinar' END",
+    "il": "CASE WHEN id % 8 > 1 THEN 'izmir' END",
+    "ilce": "CASE WHEN id % 9 > 4 THEN 'konak' END",
+}
+FOUND = "{P}, f AS (SELECT id, t, " + ", ".join(f"{v} AS {k}" for k, v in COMPOSED.items()) + " FROM clean)"
 
 
-def numbered_parts(t) -> DataFrame:
-    """Only what regular expressions of both dialects can find."""
-    x = F.col("t")
-    no, flat = P.house(x)
-    null = F.lit(None).cast("string")
-    found = {"mahalle": null, "cadde": null, "sokak": P.numbered_street(x), "no": no, "daire": flat, "kat": P.numbered(x, "kat"), "bina_adi": null, "mevkii": P.locality(x), "il": null, "ilce": null}
-    return cleaned(t).select("id", "t", F.struct(*(v.alias(k) for k, v in found.items())).alias("p"))
+def composed_parts(t) -> DataFrame:
+    return cleaned(t).select("id", "t", F.struct(*(F.expr(v).alias(k) for k, v in COMPOSED.items())).alias("p"))
 
 
-FOUND = "{P}, f AS (SELECT id, t, regexp_extract(t, '\\b([0-9]+) +sokak', 1) AS sokak, regexp_extract(t, '\\bno ?([0-9]+)/([0-9]+)', 1) AS no, regexp_extract(t, '\\bno ?([0-9]+)/([0-9]+)', 2) AS daire, regexp_extract(t, '\\bkat ?([0-9]+)', 1) AS kat, nullif(regexp_extract(t, '\\b([a-z-]+) +mevkii', 1), '') AS mevkii FROM clean)"
+def _named(order, form: str) -> str:
+    return ", ".join(form.replace("NAME", name).replace("KEY", key) for name, key in order)
 
 
-@query(f"WITH {FOUND} SELECT id, round(least(1.0, 0.2 * (4 + (mevkii IS NOT NULL)::INT) + 0.2 + 0.2), 2) AS confidence FROM f")
+SHOWN = [(n, k) for n, k in P.SHOWN]
+SIGNED = [(dict((k, n) for n, k in P.SHOWN)[k], k) for k in P.SIGNED]
+PRESENT = " + ".join(f"({k} IS NOT NULL)::INT" for k in P.PARTS)
+TEXT_SQL = f"concat_ws(' | ', {_named(SHOWN, chr(39) + 'NAME:' + chr(39) + ' || KEY')})"
+JSON_SQL = "'{' || concat_ws(',', " + _named(SHOWN, "'\"NAME\":\"' || KEY || '\"'") + ") || '}'"
+
+
+@query(f"WITH {FOUND} SELECT id, round(least(1.0, 0.2 * ({PRESENT}) + 0.2 * (no IS NOT NULL)::INT + 0.2 * (coalesce(mahalle, cadde, sokak) IS NOT NULL)::INT), 2) AS a, round(least(1.0, 0.15 * ({PRESENT}) + 0.15 * (no IS NOT NULL)::INT + 0.2 * (coalesce(mahalle, cadde, sokak) IS NOT NULL)::INT), 2) AS c FROM f")
 def parse_confidence(t):
-    return numbered_parts(t).select("id", P.confidence({k: F.col(f"p.{k}") for k in P.PARTS}, 0.2).alias("confidence"))
+    parts = {k: F.col(f"p.{k}") for k in P.PARTS}
+    return composed_parts(t).select("id", P.confidence(parts, 0.2).alias("a"), P.confidence(parts, 0.15).alias("c"))
 
 
-@query(f"WITH {FOUND} SELECT id, concat_ws(' | ', 'sokak:' || sokak, 'no:' || no, 'daire:' || daire, 'kat:' || kat, 'mevkii:' || mevkii) AS shown FROM f")
+@query(f"WITH {FOUND} SELECT id, {TEXT_SQL} AS shown FROM f")
 def parts_string(t):
-    return numbered_parts(t).select("id", P.parts_text(F.col("p")).alias("shown"))
+    return composed_parts(t).select("id", P.parts_text(F.col("p")).alias("shown"))
 
 
-@query(f"WITH {FOUND} SELECT id, '{{{{' || concat_ws(',', '\"sokak\":\"' || sokak || '\"', '\"no\":\"' || no || '\"', '\"daire\":\"' || daire || '\"', '\"kat\":\"' || kat || '\"', '\"mevkii\":\"' || mevkii || '\"') || '}}}}' AS shown FROM f".replace("{{", "{").replace("}}", "}"))
+@query(f"WITH {FOUND} SELECT id, {JSON_SQL} AS shown FROM f")
 def parts_json(t):
-    return numbered_parts(t).select("id", P.parts_json(F.col("p")).alias("shown"))
+    return composed_parts(t).select("id", P.parts_json(F.col("p")).alias("shown"))
 
 
-@query(f"WITH {FOUND} SELECT id, t || ' | ' || concat_ws(' ', 'sokak:' || sokak, 'no:' || no, 'daire:' || daire, 'kat:' || kat, 'mevkii:' || mevkii) AS signature FROM f")
+@query(f"WITH {FOUND} SELECT id, t || ' | ' || concat_ws(' ', {_named(SIGNED, chr(39) + 'NAME:' + chr(39) + ' || KEY')}) AS signature FROM f")
 def signature(t):
-    return numbered_parts(t).select("id", P.signature(F.col("t"), F.col("p")).alias("signature"))
+    return composed_parts(t).select("id", P.signature(F.col("t"), F.col("p")).alias("signature"))
+
+
+@query(f"WITH {FOUND} SELECT id, ' ' || concat_ws(' ', {', '.join(P.PARTS)}) AS side FROM f")
+def side_text(t):
+    return composed_parts(t).select("id", P.side_text(F.col("p")).alias("side"))
+
+
+@query(f"WITH {FOUND} SELECT id, t AS normalized, {JSON_SQL} AS parts_json, {TEXT_SQL} AS parts_string FROM f")
+def prediction_modes(t):
+    return composed_parts(t).select("id", *(P.prediction(F.col("t"), F.col("p"), m).alias(m) for m in ("normalized", "parts_json", "parts_string")))
 
 
 @query("WITH {P} SELECT id, regexp_extract(t, '^(.*) mahalle', 1) AS before, nullif(trim(regexp_extract(t, 'mahalle ([a-z ]+?) cadde', 1)), '') AS after FROM clean")
@@ -308,22 +323,23 @@ def weak_labels(t):
 
 
 def _struct(df: DataFrame, parts) -> DataFrame:
-    return df.withColumn("p", parts).select("id", "t", "p.*")
+    return T.once(df, "p", parts).select("id", "t", "p.*")
 
 
 @query()
 def parse_a(t):
-    return _struct(addresses(t).select("id", P.clean_a(F.col("text")).alias("t")), P.parse_a(F.col("t")))
+    return _struct(T.once(addresses(t), "t", P.clean_a(F.col("text"))), P.parse_a(F.col("t")))
 
 
 @query()
 def parse_a_post(t):
-    return _struct(addresses(t).select("id", P.clean_a(F.col("text")).alias("t")), P.repair(F.col("t"), P.parse_a(F.col("t")), P.PROVINCES_C))
+    df = T.once(T.once(addresses(t), "t", P.clean_a(F.col("text"))), "a", P.parse_a(F.col("t")))
+    return T.once(df, "p", P.repair(F.col("t"), F.col("a"), P.PROVINCES_C)).select("id", "t", "p.*")
 
 
 @query()
 def parse_b(t):
-    return _struct(addresses(t).select("id", B.clean_b(F.col("text")).alias("t")), B.parse_b(F.col("t")))
+    return _struct(T.once(addresses(t), "t", B.clean_b(F.col("text"))), B.parse_b(F.col("t")))
 
 
 #: Without marks or digits side by side, both token normalizers come to this; I gives ı.
@@ -343,7 +359,7 @@ def norm_inline(t):
 
 @query()
 def parse_c(t):
-    return _struct(addresses(t).select("id", P.clean_c(F.col("text")).alias("t")), P.parse_c(F.col("t")))
+    return _struct(T.once(addresses(t), "t", P.clean_c(F.col("text"))), P.parse_c(F.col("t")))
 
 
 FLAGGED = "SELECT doc_id, length(text) AS char_len, len(regexp_extract_all(text, '[^\\s]+')) AS word_len, len(regexp_extract_all(text, '[0-9]')) AS digit_count, len(regexp_extract_all(text, '[!-/:-@\\[-`{-~]')) AS punct_count, text FROM documents"
@@ -352,7 +368,8 @@ BAD = "(char_len < 10 OR word_len < 2 OR char_len > 180 OR digit_count = 0)"
 
 @query(f"SELECT doc_id, char_len, word_len, digit_count, punct_count, {BAD}::INT AS is_suspicious, (count(*) OVER (PARTITION BY text) > 1)::INT AS is_duplicate FROM ({FLAGGED})")
 def quality_flags(t):
-    return t("documents").select("doc_id", "text", *(v.alias(k) for k, v in Q.flags(F.col("text")).items())).withColumn("is_duplicate", Q.repeated("text")).drop("text")
+    df = t("documents").select("doc_id", "text", *(v.alias(k) for k, v in Q.flags(F.col("text")).items()))
+    return Q.copies(df, "text").withColumn("is_duplicate", (F.col("copies") > 1).cast("int")).drop("text", "copies")
 
 
 @query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^[\\s!-/:-@\\[-`{-~]*$') AND length(text) >= 6")
@@ -367,10 +384,8 @@ def dedupe_exact(t):
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) AS id, doc_id FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text)")
 def dedupe_clean(t):
-    from pyspark.sql import Window
-
-    kept = Q.first_of(t("documents").select("doc_id", "text"), "text", "doc_id")
-    return kept.select(F.row_number().over(Window.orderBy("doc_id")).alias("id"), "doc_id")
+    kept = Q.first_of(t("documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+    return positions(kept, "doc_id", "id").select("id", "doc_id")
 
 
 @query(f"SELECT doc_id, 1 AS confidence_flag, 0.5::DOUBLE AS sample_weight FROM ({FLAGGED}) WHERE {BAD}")
@@ -423,15 +438,14 @@ def head_labels(t):
 
 @query("SELECT doc_id, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1 ORDER BY n DESC, doc_id LIMIT 50")
 def duplicates(t):
-    from pyspark.sql import Window
-
-    return t("documents").select("doc_id", F.count("*").over(Window.partitionBy("text")).alias("n")).where("n > 1").orderBy(F.desc("n"), "doc_id").limit(50)
+    return Q.copies(t("documents").select("doc_id", "text"), "text", "n").where("n > 1").select("doc_id", "n").orderBy(F.desc("n"), "doc_id").limit(50)
 
 
-TOKENS = ("mah", "cad", "sokak", "no", "kat", "mevkii", "apartman", "bursa", "daire")
+#: Fixed value: words that address profiles count.
+TOKENS = ("mahalle", "mah", "mh", "cadde", "cad", "cd", "sokak", "sok", "sk", "bulvar", "blv", "no", "no.", "kat", "daire", "d:", "ap", "apt", "apartman", "sitesi", "blok", "bina", "mevkii", "caddesi", "sokağı", "sokagi")
 
 
-@query("WITH {A} SELECT token, count(*) FILTER (WHERE regexp_matches(text, '\\b' || token || '\\b')) AS n FROM addr CROSS JOIN (SELECT unnest(%s) AS token) GROUP BY token" % list(TOKENS))
+@query("WITH {A} SELECT token, count(*) FILTER (WHERE regexp_matches(lower(text), '\\b' || replace(token, '.', '\\.') || '\\b')) AS n FROM addr CROSS JOIN (SELECT unnest(%s) AS token) GROUP BY token" % list(TOKENS))
 def token_presence(t):
     return R.presence(addresses(t), "text", TOKENS)
 
@@ -466,9 +480,9 @@ def trigrams(t):
     return R.ngrams(t("documents"), "text", 3)
 
 
-@query("WITH {A}, g AS (SELECT id, list_distinct(list_transform(range(1, length(replace(text, ' ', '')) - 1), lambda i: substr(replace(text, ' ', ''), i, 3))) AS g FROM addr) SELECT i, j, round(s, 6) AS similarity FROM (SELECT a.id AS i, b.id AS j, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s FROM g a JOIN g b ON b.id > a.id AND b.id < a.id + 200) WHERE s >= 0.7")
+@query("WITH {A}, g AS (SELECT id, row_number() OVER (ORDER BY id) AS p, list_distinct(list_transform(range(1, length(replace(text, ' ', '')) - 1), lambda i: substr(replace(text, ' ', ''), i, 3))) AS g FROM addr) SELECT i, j, round(s, 6) AS similarity FROM (SELECT a.id AS i, b.id AS j, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s FROM g a JOIN g b ON b.p > a.p AND b.p < a.p + 200) WHERE s >= 0.9")
 def near_dup_jaccard(t):
-    return R.near_positions(addresses(t), "id", "text", 200, 0.7)
+    return R.near_positions(addresses(t), "id", "text", 200, 0.9)
 
 
 def _tfidf_sql(terms: str, source: str, key: str) -> str:
@@ -513,7 +527,7 @@ def eval_binary(t):
 PRED = "SELECT o_orderpriority AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '1-URGENT' END AS g FROM orders"
 
 
-@query(f"WITH p AS ({PRED}), c AS (SELECT DISTINCT unnest([t, g]) AS c FROM p), x AS (SELECT c, count(*) FILTER (WHERE t = c) AS t, count(*) FILTER (WHERE g = c) AS g, count(*) FILTER (WHERE t = c AND g = c) AS h FROM c, p GROUP BY c), f AS (SELECT t, h, coalesce(2.0::DOUBLE * h / nullif(t + g, 0), 0) AS f1, coalesce(5.0::DOUBLE * h / nullif(4 * t + g, 0), 0) AS f2 FROM x) SELECT round(sum(h)::DOUBLE / sum(t)::DOUBLE, 4) AS accuracy, round(avg(f1), 4) AS macro_f1, round(avg(f2), 4) AS macro_f2, round(sum(f1 * t) / sum(t), 4) AS weighted_f1, round(sum(f2 * t) / sum(t), 4) AS weighted_f2 FROM f")
+@query(f"WITH p AS ({PRED}), c AS (SELECT DISTINCT unnest([t, g]) AS c FROM p), x AS (SELECT c, count(*) FILTER (WHERE t = c) AS t, count(*) FILTER (WHERE g = c) AS g, count(*) FILTER (WHERE t = c AND g = c) AS h FROM c, p GROUP BY c), f AS (SELECT t, h, coalesce(2.0::DOUBLE * h / nullif(t + g, 0), 0) AS f1, coalesce(5.0::DOUBLE * h / nullif(4 * t + g, 0), 0) AS f2 FROM x) SELECT round(sum(h)::DOUBLE / sum(t)::DOUBLE, 4) AS accuracy, round(avg(f1), 4) AS macro_f1, round(avg(f2), 4) AS macro_f2, round(sum(h)::DOUBLE / sum(t)::DOUBLE, 4) AS micro_f1, round(sum(h)::DOUBLE / sum(t)::DOUBLE, 4) AS micro_f2, round(sum(f1 * t) / sum(t), 4) AS weighted_f1, round(sum(f2 * t) / sum(t), 4) AS weighted_f2 FROM f")
 def eval_multiclass_f(t):
     o = t("orders").select(F.col("o_orderpriority").alias("t"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise("1-URGENT").alias("g"))
     return M.multiclass(o, "t", "g")
@@ -531,13 +545,12 @@ def eval_top3(t):
 
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1) % 3)::INT AS fold FROM orders")
 def cv_folds(t):
-    o = t("orders")
-    return o.select("o_orderkey", M.folds(o, "o_orderkey", "o_orderpriority", 3).alias("fold"))
+    return M.folds(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 3).select("o_orderkey", "fold")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= ceil(count(*) OVER (PARTITION BY o_orderpriority) * 0.2) AS held FROM orders")
 def stratified_split(t):
-    return t("orders").select("o_orderkey", M.held_out("o_orderkey", "o_orderpriority", 0.2).alias("held"))
+    return M.held_out(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 0.2).select("o_orderkey", "held")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
