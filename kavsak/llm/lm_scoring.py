@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import materialise, small
 
-DISCOUNT, ADD, BATCH, PAIRS = 0.75, 0.5, 2_000_000, 3_000_000
+DISCOUNT, ADD, BATCH, PAIRS = 0.75, 0.5, 1_250_000, 1_500_000
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
