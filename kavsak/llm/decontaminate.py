@@ -26,7 +26,7 @@ from . import _text as T
 from ._spark import materialise
 
 PASSAGE, SHARE, QUESTION, ANSWER, GRAM, K1, B = 64, 0.5, 0.6, 0.5, 5, 1.2, 0.75
-SHARD_ITEMS, SHARD_BYTES, BLOCK = 20_000, 32 << 20, 32
+SHARD_ITEMS, SHARD_BYTES, BLOCK = 20_000, 32 << 20, 8
 #: Bounds may be a rounding below the sum they bound.
 NEARLY = 1 - 1e-6
 
