@@ -82,11 +82,11 @@ def knn(spark: SparkSession, train: str, test: str, output: str, limit: int | No
     a, b = (files.read_csv(spark, p, limit=limit) for p in (train, test))
     a = files.required(a, "address", "label", rows=True).withColumn("id", F.monotonically_increasing_id())
     b = files.required(b, "id", "address")
-    text = lambda df, key: df.select(F.col(key).alias("id"), T.array_text(F.col("address")).alias("text"))
+    text = lambda df: T.once(df, "text", T.array_text(F.col("address"))).select("id", "text").persist()
     terms = V.word_terms(F.col("text"), 2)
-    docs = text(a, "id")
+    docs = text(a)
     known = V.vocabulary(docs, V.term_counts(docs, terms), 2)
-    index, queries = (V.tfidf(d, terms, known=known) for d in (docs, text(b, "id")))
+    index, queries = (V.tfidf(d, terms, known=known) for d in (docs, text(b)))
     near = V.transferred(queries, index, a.select("id", "label"))
     top = a.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
     out = b.select("id").join(near, F.col("id") == F.col("query_id"), "left").select("id", F.coalesce("label", F.lit(top)).alias("label"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

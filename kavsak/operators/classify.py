@@ -25,7 +25,7 @@ def _terms(x: Column, kind: str, low: int, high: int) -> Column:
     if kind == "char":
         return V.char_terms(x, low, high)
     w = F.regexp_extract_all(x, F.lit("[a-z0-9çğıöşü]+"), F.lit(0))
-    return F.concat(*(w if n == 1 else F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), V._run(w, n)) for n in range(low, high + 1)))
+    return V.runs(w, low, high)
 
 
 class Features:
