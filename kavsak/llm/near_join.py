@@ -265,6 +265,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     nodes = materialise(signed.where("n_words > 0").groupBy("nid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.first("n_grams").alias("n_grams"), F.first("label").alias("label")))
     edges, depth = walk(nodes, similarity, recall, trees, longest)
     groups = components(edges)
+    forget(edges)
     member = groups.join(nodes, groups.u == nodes.nid).select("nid", F.col("v").alias("grp"), "copies", "low", "n_grams", "label")
     sized = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
     sized = sized.select("grp", F.ceil(F.greatest(F.col("m") / most, F.col("g") / most_grams)).cast("int").alias("blocks"))
@@ -280,8 +281,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     links = checked.groupBy("nid").agg(F.sum("links").alias("links"))
     pairs = checked.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
     roots = components(pairs).select(F.col("u").alias("nid"), F.col("v").alias("root"))
+    first = nodes
     nodes = nodes.select("nid", "copies", "low").join(links, "nid", "left").join(roots, "nid", "left").select("nid", "low", F.coalesce("root", "nid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    nodes = materialise(nodes)
+    nodes = materialise(nodes, first, member, checked)
     named = nodes.groupBy("root").agg(F.min("low").alias("class_id"))
     nodes = nodes.join(named, "root").select("nid", "root", "class_id", "n_links")
     out = signed.select("doc_id", "nid", "n_grams", (F.col("n_words") == 0).alias("blank")).join(nodes, "nid", "left")
