@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import materialise
+from ._spark import forget, materialise, small
 
 #: Different strings of one minimiser that are compared in one task.
 HOT = 60_000
+#: Hot minimisers up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_HOT = 1_000_000
 
 
 def runs_of(tokens: np.ndarray, first: np.ndarray, width: int, k: int, lag: int = 0):
@@ -81,7 +83,7 @@ def candidates(docs: DataFrame, width: int, k: int, by_words: bool) -> DataFrame
     found = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"), *([F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")] if by_words else []))
     # written, so that the join's own shuffles can be split where a minimiser is frequent
     found = materialise(found.where("d1 > d0" if by_words else "c > 1").select("h", (F.col("s0") == F.col("s1")).alias("one"), *(["d0"] if by_words else [])))
-    return materialise(runs.join(found, "h"))
+    return materialise(runs.join(found, "h"), found)
 
 
 def pieces(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +150,18 @@ def repeated(docs: DataFrame, width: int, k: int, by_words: bool, compare, finge
     many = cand.where("not one")
     strings = many.groupBy("h", "s").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *(F.first(x).alias(x) for x in ("n", "b0", "nb")), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"))
     strings = materialise(strings)
-    crowd = strings.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot"))
-    packed = strings.join(crowd, "h", "left").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
+    # at most one for ``hot`` strings, usually none: strings aren't shuffled by their minimiser to find theirs
+    crowd = materialise(strings.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")))
+    crowded = not crowd.isEmpty()
+    packed = strings.join(small(crowd, BROADCAST_HOT), "h", "left") if crowded else strings.withColumn("hot", F.lit(None).cast("boolean"))
+    if not crowded:
+        forget(crowd)
+    packed = packed.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
     packed = packed.join(docs, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
     packed = packed.select("h", "s", "c", "lo", "hi", "n", "hot", F.expr("substring(cast(text as binary), b0 + 1, nb)").alias("packed"))
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     usual = packed.where("hot is null").drop("hot").repartition(int(parts), "h").sortWithinPartitions("h", "s").mapInArrow(compare, "h long, s long, spans array<long>")
-    if strings.groupBy("h").count().where(F.col("count") > hot).limit(1).count():
+    if crowded:
         # repeated rows of one document pack the same string twice
         own = packed.where("hot").dropDuplicates(["h", "s"]).drop("hot").mapInArrow(fingerprints, "f1 long, f2 long, h long, s long, c long, lo long, hi long, i long")
         own = materialise(own)
