@@ -12,8 +12,8 @@ out of the counts; they also choose the floors and whether tokens are looked at
 
 Learning takes at most ``most_docs`` labelled texts of each class, by hash of doc_id, and of these, in that order, whole
 texts until ``most_tokens`` are reached: that bounds what is collected and broadcast. Tokens are runs of ASCII letters,
-digits and non-ASCII characters, in ASCII lower case; of a token longer than ``LONGEST`` bytes, the bytes beyond are not
-looked at one by one. Null and empty texts have ratio 0. A document labelled more than
+digits and non-ASCII characters, in ASCII lower case; all bytes of a token are looked at, however long it is (a text
+without blanks is one token). Null and empty texts have ratio 0. A document labelled more than
 once counts as toxic if any label says so. Repeated rows score alike. Rows with a null doc_id aren't learned from. Extra
 columns are ignored. With no labels of a class, every score is the share of toxic labels (0.5 without any).
 """
@@ -32,8 +32,8 @@ from . import _text as T
 MOST_DOCS, MOST_TOKENS = 4000, 2_500_000
 #: Share of the labelled sample that fits the curve; ratio at which small ones are told apart.
 HELD, BEND = 4, 1e-3
-#: Bytes of a gram within tokens; bytes of a token that are looked at.
-ORDER, LONGEST = 5, 64
+#: Bytes of a gram within tokens; bytes of tokens whose grams are held at once (a longer token is worked on alone).
+ORDER, SLICE = 5, 1 << 19
 #: Shared count of what neither class knows.
 UNKNOWN = 0.5
 #: What the texts kept out choose from: tokens alone or in pairs, floors of the ratios of tokens and of bytes.
@@ -139,7 +139,7 @@ class Bigrams:
 
 def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Grams of ORDER bytes that end at each byte of the tokens and at their end, as numbers, and each one's token."""
-    size = np.minimum(ends - starts, LONGEST)
+    size = ends - starts
     total = size + ORDER
     first = np.cumsum(total) - total
     flat = np.zeros(int(total.sum()), np.uint8)
@@ -154,18 +154,32 @@ def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return gram, owner
 
 
+def sliced(starts: np.ndarray, ends: np.ndarray) -> list[slice]:
+    """Stretches of tokens of about SLICE bytes each."""
+    total = np.cumsum(ends - starts)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(SLICE, total[-1] if len(total) else 0, SLICE)) + 1, [len(starts)]]))
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of tokens, and how often they occur if each token occurs ``n`` times."""
+    keys, times = [np.zeros(0, _U)], [np.zeros(0)]
+    for part in sliced(starts, ends):
+        g, owner = padded(data, starts[part], ends[part])
+        every, at = np.unique(g, return_inverse=True)
+        keys.append(every)
+        times.append(np.bincount(at, n[part][owner], len(every)))
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(times), len(every))
+
+
 class Bytes:
     """Log-likelihood ratios of two classes' Kneser-Ney models of the bytes of tokens."""
 
     def __init__(self, classes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         """classes: for the ordinary and for the toxic class, bytes, starts and ends of different tokens, and how often each occurs."""
-        grams, times = [], []
-        for data, starts, ends, n in classes:
-            g, owner = padded(data, starts, ends)
-            grams.append(g)
-            times.append(n[owner])
-        level, counts = [], (grams, times)
-        keys, c = _counted(*counts)
+        level = []
+        keys, c = _counted(*map(list, zip(*(gathered(*x) for x in classes))))
         level.append((keys, c))
         for k in range(ORDER - 1, 0, -1):
             # a gram's continuation count: how many different bytes stand before it
@@ -195,10 +209,14 @@ class Bytes:
 
     def ratios(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *floors: float) -> list[np.ndarray]:
         """The ratio of each token, for each floor."""
-        grams, owner = padded(data, starts, ends)
-        different, at = np.unique(grams, return_inverse=True)
-        one = self.ratio(different)[at]
-        return [np.bincount(owner, over(one, x), len(starts)) for x in floors]
+        out = [np.zeros(len(starts)) for _ in floors]
+        for part in sliced(starts, ends):
+            grams, owner = padded(data, starts[part], ends[part])
+            different, at = np.unique(grams, return_inverse=True)
+            one = self.ratio(different)[at]
+            for x, floor in zip(out, floors):
+                x[part] = np.bincount(owner, over(one, floor), part.stop - part.start)
+        return out
 
 
 class Scorer:

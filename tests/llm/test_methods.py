@@ -201,6 +201,23 @@ def test_kneser_ney_of_tokens():
         assert np.allclose(model.ratios(w, first, order), want)
 
 
+def test_toxicity_of_texts_without_blanks(spark):
+    """A long token counts whole: what tells stands behind its first 64 bytes, once of many."""
+    from kavsak.llm.toxicity import ORDER, packed, padded, tokens, train
+
+    data, off = packed(["x" * 300 + "qzj ab"])
+    _, _, starts, ends = tokens(data, off)
+    grams, owner = padded(data, starts, ends)
+    assert np.bincount(owner).tolist() == [304, 3] and ORDER == 5
+    rng = random.Random(8)
+    plain = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = lambda y: plain(80 + rng.randrange(40)) + ("qzjqzj" if y else plain(6)) + plain(80)
+    model = train([(y, long(y), o) for o in range(160) for y in (0, 1)], 0.5)
+    y = [o % 2 for o in range(40)]
+    score = model.scores(model.ratios(*packed([long(k) for k in y])))
+    assert min(s for s, k in zip(score, y) if k) > max(s for s, k in zip(score, y) if not k)
+
+
 def test_kneser_ney_of_bytes():
     from kavsak.llm.toxicity import ORDER, Bytes, packed, tokens
 
