@@ -87,7 +87,7 @@ def knn(spark: SparkSession, train: str, test: str, output: str, limit: int | No
     docs = text(a)
     known = V.vocabulary(docs, V.term_counts(docs, terms), 2)
     index, queries = (V.tfidf(d, terms, known=known) for d in (docs, text(b)))
-    near = V.transferred(queries, index, a.select("id", "label"))
+    near = V.transferred(V.neighbours(queries, index, 1), a.select("id", "label"))
     top = a.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
     out = b.select("id").join(near, F.col("id") == F.col("query_id"), "left").select("id", F.coalesce("label", F.lit(top)).alias("label"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     files.write_csv(out.select("id", "label"), output)

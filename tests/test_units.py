@@ -83,6 +83,31 @@ def test_building_repair(spark):
     assert of("gül apartman", "lale apartman") == "lale apartman" and of("x y", None) is None and of("apartman", "5 x") == "apartman"
 
 
+def test_neighbours_of_equal_texts(spark):
+    """Equal texts are compared once, and rows get what a search row by row gives."""
+    from pyspark.sql import functions as F
+
+    from kavsak.operators import retrieval as V
+
+    words = ["red bolt", "new ring", "red ring", "old rod", "x", None, "red red bolt"]
+    docs = spark.createDataFrame([(i, words[i * i % 11 % 7]) for i in range(120)], "id long, text string")
+    v = V.tfidf(docs, V.word_terms(F.col("text")))
+    for k, answers in ((1, "id % 5 > 0"), (4, "true"), (40, "id % 5 > 0")):
+        want = V.neighbours(v.where("id % 5 = 0"), v.where(answers), k)
+        near = V.text_neighbours(docs, V.word_terms, F.expr("id % 5 = 0"), F.expr(answers), k)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
+    # the join of hits has a row a pair of texts and term, not a pair of rows
+    from pyspark.sql import DataFrame
+
+    seen, plain = [], V.neighbours
+    V.neighbours = lambda q, i, k=1: (seen.append((q.count(), i.count())), plain(q, i, k))[1]
+    try:
+        assert isinstance(V.text_neighbours(docs, V.word_terms, F.expr("id % 5 = 0"), F.lit(True), 2), DataFrame)
+    finally:
+        V.neighbours = plain
+    assert max(seen[0]) <= 2 * len(words)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
