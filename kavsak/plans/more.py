@@ -179,8 +179,7 @@ def label_transfer(t):
 
 @query(_tfidf_sql(WORD_SQL, "part", "p_partkey") + ", s AS (SELECT q.id AS query_id, v.id AS found_id, round(sum(q.weight * v.weight), 6) AS similarity FROM v q JOIN v ON q.term = v.term WHERE q.id % 50 = 0 AND v.id % 50 > 0 GROUP BY ALL) SELECT count(*) AS n, round(avg(similarity), 5) AS mean_similarity FROM (SELECT max(similarity) AS similarity FROM s GROUP BY query_id)")
 def mean_similarity(t):
-    v = V.tfidf(parts(t), V.word_terms(F.col("text")))
-    return V.transferred(V.neighbours(v.where("id % 50 = 0"), v.where("id % 50 > 0"), 1), parts(t)).agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
+    return V.transferred(_nearest(t), parts(t)).agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
 
 
 @query(
