@@ -152,3 +152,125 @@ class Scores:
             if shared:
                 at += np.logical_or.reduce(shared) if len(shared) > 1 else shared[0]
             yield table[at]
+
+
+class TokenSets:
+    """``linkage.token_set_ratio`` of a text with many. Each text is the sorted row of its different words, backwards; the words
+    that both have are taken out of the bits of one and out of the letters of the other, pair by pair."""
+
+    def __init__(self, texts: list[str]):
+        words = [sorted(set(t.split())) for t in texts]
+        self.rows, self.many = [" ".join(w) for w in words], None
+        longest = max(map(len, self.rows), default=0)
+        self.dtype = np.uint64 if longest < WORD else object
+        n = len(texts)
+        blank = lambda: np.zeros(n, self.dtype) if self.dtype is not object else np.array([0] * n, object)
+        self.zero, self.bits, self.eq = blank(), {}, {}
+        self.all, self.words, self.chars = blank(), np.array([len(w) for w in words]), np.array([sum(map(len, w)) for w in words])
+        for i, row in enumerate(words):
+            at = 0
+            for w in reversed(row):
+                # the word's letters and the blank after it, in bits from the end of the text
+                self.bits.setdefault(w, blank())[i] = ((1 << len(w) + 1) - 1) << at
+                for c in reversed(w):
+                    x = self.eq.setdefault(c, blank())
+                    x[i] = int(x[i]) | 1 << at
+                    at += 1
+                x = self.eq.setdefault(" ", blank())
+                x[i] = int(x[i]) | 1 << at
+                at += 1
+            self.all[i] = (1 << at) - 1
+
+    def count(self, x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x).astype(np.int64) if self.dtype is not object else np.array([v.bit_count() for v in x], np.int64)
+
+    def of(self, text: str) -> np.ndarray:
+        words = sorted(set(text.split()))
+        if not words:
+            return np.zeros(len(self.all))
+        keep, n_both, c_both = self.all.copy(), np.zeros(len(self.all), np.int64), np.zeros(len(self.all), np.int64)
+        mine = []
+        for w in words:
+            held = self.bits.get(w)
+            has = held != 0 if held is not None else np.zeros(len(self.all), bool)
+            if held is not None:
+                keep &= ~held
+                n_both += has
+                c_both += has * len(w)
+            mine.append(has)
+        # the first word left stands last in the bits; the blank after it, above all others, isn't part of the text
+        size_l, size_r = len(words) - n_both, self.words - n_both
+        left, right = sum(map(len, words)) - c_both + np.maximum(size_l - 1, 0), self.chars - c_both + np.maximum(size_r - 1, 0)
+        both = c_both + np.maximum(n_both - 1, 0)
+        keep = self._below(keep)
+        # bits taken out match nothing but carry on
+        s, later = self.all, np.zeros(len(self.all), bool)
+        for w, has in zip(reversed(words), reversed(mine)):
+            for c, who in [(" ", ~has & later), *((c, ~has) for c in reversed(w))]:
+                eq = self.eq.get(c)
+                if eq is None:
+                    continue
+                u = s & np.where(who, eq & keep, self.zero)
+                s = (s + u) | (s - u)
+            later |= ~has
+        lcs = self.count(self.all) - self.count(s & self.all)
+        some = n_both > 0
+        one, two = (np.where(some, both + (x > 0) + x, x) for x in (left, right))
+        lcs = np.where(some, lcs + both + 1, lcs)
+        ratio = lambda v, a, b: 200.0 * v / np.maximum(a + b, 1)
+        best = ratio(lcs, one, two)
+        best = np.where(some, np.maximum(best, np.maximum(ratio(both, both, one), ratio(both, both, two))), best)
+        best = np.where(some & ((left == 0) | (right == 0)), 100.0, best)
+        return np.where(self.words > 0, best, 0.0)
+
+    def _below(self, x: np.ndarray) -> np.ndarray:
+        """Without the highest bit."""
+        if self.dtype is object:
+            return np.array([v & ~(1 << v.bit_length() - 1) if v else 0 for v in x], object)
+        y = x.copy()
+        for k in (1, 2, 4, 8, 16, 32):
+            y |= y >> np.uint64(k)
+        return x & (y >> np.uint64(1))
+
+
+class Parts:
+    """Text scores of each of the sorted texts with many, and whether they share a run of digits."""
+
+    def __init__(self, texts: list[str], scorer: str):
+        self.scorer = scorer
+        self.scores = Scores(texts, scorer, (1.0, 0.0, 0.0))
+        self.sets = TokenSets(texts) if scorer == "token_set_ratio" else None
+
+    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        many = self.scores.many
+        values = many.values(texts) if self.sets is None else (self.sets.of(t) for t in texts)
+        for text, x in zip(texts, values):
+            if self.scorer == "levenshtein":
+                x = 100.0 * (1 - x / np.maximum(np.maximum(many.length, len(text)), 1))
+            elif self.sets is None:
+                both = many.length + len(text)
+                x = np.where(both > 0, 200.0 * x / np.maximum(both, 1), 100.0)
+            shared = np.zeros(many.n, bool)
+            for r in runs(text):
+                if r in self.scores.holds:
+                    shared |= self.scores.holds[r]
+            yield x, shared
+
+
+def rounds(x: np.ndarray) -> np.ndarray:
+    """``rounded`` of many."""
+    y = x * 100
+    out = np.round(y) / 100
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6):
+        out[i] = rounded(float(x[i]))
+    return out
+
+
+def combine(text: np.ndarray, digits: np.ndarray, geo: np.ndarray | None, weights: tuple[float, float, float]) -> np.ndarray:
+    """``linkage.combine`` of many, before it is rounded; a missing geo score is NaN or None."""
+    t, d, g = weights
+    total, weight = 0.0 + text * t + np.where(digits, 100.0, 0.0) * d, 0.0 + t + d
+    if geo is None:
+        return total / weight
+    there = ~np.isnan(geo)
+    return (total + np.where(there, geo * g, 0.0)) / np.where(there, weight + g, weight)

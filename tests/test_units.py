@@ -149,6 +149,35 @@ def test_best_by_text(spark):
                 assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_token_sets():
+    import random
+
+    from kavsak.operators import textmatch
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(("a", "ab", "ba", "b1", "çab", "no:1", "no:12")) * rng.choice((1, 1, 2)) for _ in range(rng.randrange(n)))
+    texts = ["", "a", "no:1 kat", *(text(9) for _ in range(60))]
+    for many in (["", *(text(7) for _ in range(40))], ["x" * 70 + " ab", "", *(text(30) for _ in range(20))]):
+        sets = textmatch.TokenSets(many)
+        for a in texts:
+            assert sets.of(a).tolist() == [L.token_set_ratio(a, b) for b in many]
+
+
+def test_pairs_by_text(spark):
+    """All pairs of rows that scoring pair by pair gives, with and without places."""
+    from unittest import mock
+
+    word = lambda i: ("gul", "lale mah", "", "no 12", "no 3 kat 12", "gul no 1")[i * i % 7 % 6]
+    schema = "id long, province string, district string, text string, lat double, lon double"
+    side = lambda n, m: spark.createDataFrame([(i, f"p{i % 2}", "x", word(i) + " sk" * (i % m % 3) if i % 13 else None, 36 + i % 9 / 10 if i % 5 else None, 27.0 + i % 4) for i in range(n)], schema)
+    left, right, weights = side(40, 7), side(50, 5), (0.8, 0.15, 0.05)
+    for scorer, least, km in (("levenshtein", 60.0, 50.0), ("levenshtein", 0.0, None), ("ratio", 70.0, 20.0), ("ratio", 80.0, None), ("token_set_ratio", 50.0, None), ("token_set_ratio", 0.0, 300.0)):
+        want = L.scored(L.candidates(left, right, "province+district"), scorer, weights, least, km).select("left_id", "right_id", "score")
+        with mock.patch.multiple(L, MOST_LEFT=16, MOST_RIGHT=3, MOST_OUT=50):
+            got = L.pairs_by_text(left, right, "province+district", scorer, weights, least, km)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
