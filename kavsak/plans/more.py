@@ -213,7 +213,7 @@ def tfidf_chars(t):
 
 @query(_tfidf_sql(PADDED_SQL, "part", "p_partkey") + " SELECT id, term, round(weight, 6) AS weight FROM v")
 def tfidf_padded(t):
-    return V.tfidf(parts(t), V.padded_terms(F.col("text"), 3, 5)).withColumn("weight", F.round("weight", 6))
+    return V.tfidf_by_text(parts(t), lambda x: V.padded_terms(x, 3, 5)).withColumn("weight", F.round("weight", 6))
 
 
 @query(_capped(_tfidf_sql(RUNS_SQL, "part", "p_partkey"), 3, 300) + " SELECT id, term, round(weight, 6) AS weight FROM v")

@@ -108,6 +108,16 @@ def test_neighbours_of_equal_texts(spark):
     assert max(seen[0]) <= 2 * len(words)
 
 
+def test_tfidf_by_text(spark):
+    """Copies share their text's vector, and count in the weights."""
+    from kavsak.operators import retrieval as V
+
+    words = ["red bolt", "new ring", "red ring red", "", None, "ring new"]
+    docs = spark.createDataFrame([(i, words[i * i % 11 % 6]) for i in range(60)], "id long, text string")
+    rows = lambda df: sorted((r["id"], r["term"], round(r["weight"], 9)) for r in df.collect())
+    assert rows(V.tfidf_by_text(docs, V.word_terms)) == rows(V.tfidf(docs, V.word_terms(F.col("text")))) != []
+
+
 def test_distances_to_many():
     """Columns shared by texts with a common beginning give the plain distances, beyond 64 characters too."""
     import random
