@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 
@@ -26,84 +27,166 @@ def combined(text: float, digits: float, weights: tuple[float, float, float]) ->
     return rounded(total / weight) if weight else 0.0
 
 
+#: Texts that are taken through a table at once; numbers of best ones up to which each is looked for by itself.
+BATCH, FEW = 64, 8
+#: Below any score.
+GONE = np.iinfo(np.int32).min
+
+
 class Many:
     """Texts to be compared with; ``kind`` is levenshtein (distances) or lcs (longest common subsequences)."""
 
     def __init__(self, texts: list[str], kind: str):
-        self.n, self.kind = len(texts), kind
+        self.texts, self.n, self.kind = texts, len(texts), kind
         self.length = np.array([len(t) for t in texts], np.int64)
-        short = self.length <= WORD
-        self.groups = []
-        for which, dtype in ((short, np.uint64), (~short, object)):
+
+    def values(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each of the sorted ``texts``, its values with all, to be used before the next are asked for."""
+        for _, rows in self.batches(texts):
+            yield from rows
+
+    def batches(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Some of the sorted ``texts`` and a row for each with its values with all, to be used before the next are asked for.
+        What all texts of both sides begin and end with changes no distance and isn't compared."""
+        both = [*self.texts, *texts]
+        head = len(commonprefix(both))
+        tail = min(len(commonprefix([t[head:][::-1] for t in both])), min(map(len, both), default=head) - head)
+        cut = lambda t: t[head : len(t) - tail]
+        groups = self._groups([cut(t) for t in self.texts])
+        # states that are read, states that are written, and room for a column's steps
+        rooms = [None if full.dtype == object else [np.empty((BATCH, len(full)), full.dtype) for _ in range(8)] for _, full, _, _ in groups]
+        out = np.zeros((BATCH, self.n), np.int32)
+        for i in range(0, len(texts), BATCH):
+            some = texts[i : i + BATCH]
+            rows = out[: len(some)]
+            for (at, *group), room in zip(groups, rooms):
+                found = rows if len(at) == self.n else np.empty((len(some), len(at)), np.int32)
+                (_long if room is None else _walk)(self.kind, [cut(t) for t in some], *group, found, room)
+                if found is not rows:
+                    rows[:, at] = found
+            if self.kind == "lcs":
+                rows += head + tail
+            yield some, rows
+
+    def _groups(self, texts: list[str]) -> list[tuple]:
+        """Places, whole words of bits, numbers of letters and each letter's bits, of texts that fit a word and of others."""
+        length = np.array([len(t) for t in texts], np.int64)
+        short, out = length <= WORD, []
+        small = np.uint32 if length[short].max(initial=0) <= WORD // 2 else np.uint64
+        for which, dtype in ((short, small), (~short, object)):
             at = np.flatnonzero(which)
             if not len(at):
                 continue
-            masks: dict[str, dict[int, int]] = {}
+            codes: dict[str, int] = {}
+            masks: list[dict[int, int]] = []
             for k, i in enumerate(at):
                 for b, c in enumerate(texts[i]):
-                    row = masks.setdefault(c, {})
+                    if c not in codes:
+                        codes[c] = len(masks)
+                        masks.append({})
+                    row = masks[codes[c]]
                     row[k] = row.get(k, 0) | 1 << b
-            eq = {}
-            for c, row in masks.items():
-                x = np.zeros(len(at), dtype) if dtype is not object else np.array([0] * len(at), object)
-                x[list(row)] = np.array(list(row.values()), dtype)
-                eq[c] = x
-            full = np.array([(1 << int(m)) - 1 for m in self.length[at]], dtype)
-            self.groups.append((at, eq, full, dtype))
-
-    def values(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each of the sorted ``texts``, its values with all."""
-        step, start = (_column, lambda full: (full, full ^ full)) if self.kind == "levenshtein" else (_lcs_column, lambda full: (full,))
-        states = [[start(full)] for _, _, full, _ in self.groups]
-        before = ""
-        for text in texts:
-            same = 0
-            for a, b in zip(before, text):
-                if a != b:
-                    break
-                same += 1
-            out = np.zeros(self.n, np.int64)
-            for (at, eq, full, dtype), stack in zip(self.groups, states):
-                del stack[same + 1 :]
-                none = full ^ full
-                for c in text[same:]:
-                    stack.append(step(stack[-1], eq.get(c, none)))
-                top = stack[-1]
-                count = (lambda x: np.bitwise_count(x)) if dtype is not object else (lambda x: np.array([v.bit_count() for v in x]))
-                if self.kind == "levenshtein":
-                    out[at] = len(text) + count(top[0] & full).astype(np.int64) - count(top[1] & full)
-                else:
-                    out[at] = self.length[at] - count(top[0] & full)
-            before = text
-            yield out
-
-
-def _column(state: tuple, eq: np.ndarray) -> tuple:
+            # the last row is that of letters which no text has
+            eq = np.zeros((len(masks) + 1, len(at)), dtype)
+            for c, row in enumerate(masks):
+                eq[c, list(row)] = np.array(list(row.values()), dtype)
+            out.append((at, np.array([(1 << int(m)) - 1 for m in length[at]], dtype), codes, eq))
+        return out
+
+
+def _walk(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int], eq: np.ndarray, out: np.ndarray, room: list[np.ndarray]) -> None:
+    """Values of the texts with all, into ``out``: column by column, a row of states for each different beginning."""
+    n, now, then, room = len(texts), room[:2], room[2:4], room[4:]
+    length = np.array([len(t) for t in texts])
+    longest = int(length.max())
+    same = np.array([-1] + [len(commonprefix(x)) for x in zip(texts, texts[1:])])
+    letters = np.full((n, longest), len(eq) - 1)
+    for i, t in enumerate(texts):
+        letters[i, : len(t)] = [codes.get(c, len(eq) - 1) for c in t]
+    now[0][0], now[1][0] = full, 0
+    node, states = np.zeros(n, np.int64), 1
+    step, ups = (_column, len(full)) if kind == "levenshtein" else (_lcs_column, 0)
+    bits = np.empty(len(full), np.uint8)
+    ending: dict[int, list[int]] = {}
+    for i, d in enumerate(length.tolist()):
+        ending.setdefault(d, []).append(i)
+    # up to here all begin alike
+    alike = int(min(length.min(), same[1:].min(initial=longest)))
+    for d in range(longest + 1):
+        for i in ending.get(d, ()):
+            up, down = (np.bitwise_and(x[node[i]], full, out=y[0]) for x, y in zip(now, room))
+            out[i] = np.bitwise_count(up, out=bits)
+            if ups:
+                out[i] -= np.bitwise_count(down, out=bits)
+                out[i] += d
+            else:
+                np.subtract(np.bitwise_count(full), bits, out=out[i], dtype=np.int32)
+        if d == longest:
+            break
+        if d < alike:
+            heads = [0]
+        else:
+            alive = np.flatnonzero(length > d)
+            first = same[alive] <= d
+            heads = alive[first]
+            if len(heads) > states or (node[heads] != np.arange(len(heads))).any():
+                for x, y in zip(now, then):
+                    x.take(node[heads], axis=0, out=y[: len(heads)], mode="clip")
+                now, then = then, now
+            states = len(heads)
+            node[alive] = np.cumsum(first) - 1
+        up, down, hits, *more = (x[:states] for x in (*now, *room))
+        eq.take(letters[heads, d], axis=0, out=hits, mode="clip")
+        step(up, down, hits, *more)
+
+
+def _column(up: np.ndarray, down: np.ndarray, eq: np.ndarray, xv: np.ndarray, xh: np.ndarray, ph: np.ndarray) -> None:
     """The next column of the table of distances (Myers): where it grows and where it falls downwards."""
-    up, down = state
-    xv = eq | down
-    xh = eq & up
+    np.bitwise_or(eq, down, out=xv)
+    np.bitwise_and(eq, up, out=xh)
     xh += up
     xh ^= up
     xh |= eq
-    ph = xh | up
-    ph = ~ph
+    np.bitwise_or(xh, up, out=ph)
+    np.invert(ph, out=ph)
     ph |= down
     xh &= up
     ph <<= 1
     ph |= 1
     xh <<= 1
-    down = ph & xv
+    np.bitwise_and(ph, xv, out=down)
     xv |= ph
-    xv = ~xv
-    xv |= xh
-    return xv, down
-
-
-def _lcs_column(state: tuple, eq: np.ndarray) -> tuple:
-    (s,) = state
-    u = s & eq
-    return ((s + u) | (s - u),)
+    np.invert(xv, out=xv)
+    np.bitwise_or(xv, xh, out=up)
+
+
+def _lcs_column(s: np.ndarray, _, eq: np.ndarray, u: np.ndarray, total: np.ndarray, *more) -> None:
+    np.bitwise_and(s, eq, out=u)
+    np.add(s, u, out=total)
+    s -= u
+    s |= total
+
+
+def _long(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int], eq: np.ndarray, out: np.ndarray, _) -> None:
+    """As ``_walk``, for words of any size."""
+    count = lambda x: np.array([v.bit_count() for v in x], np.int32)
+    stack, before = [(full, full ^ full)], ""
+    for i, text in enumerate(texts):
+        same = len(commonprefix((before, text)))
+        del stack[same + 1 :]
+        for c in text[same:]:
+            up, down = stack[-1]
+            e = eq[codes.get(c, -1)]
+            if kind == "levenshtein":
+                xh = (((e & up) + up) ^ up) | e
+                ph = (down | ~(xh | up)) << 1 | 1
+                stack.append(((up & xh) << 1 | ~(e | down | ph), ph & (e | down)))
+            else:
+                u = up & e
+                stack.append(((up + u) | (up - u), down))
+        up, down = stack[-1]
+        out[i] = len(text) + count(up & full) - count(down & full) if kind == "levenshtein" else count(full) - count(up & full)
+        before = text
 
 
 def runs(text: str) -> set[str]:
@@ -123,35 +206,60 @@ class Scores:
         for r, at in found.items():
             self.holds[r] = np.zeros(len(texts), bool)
             self.holds[r][at] = True
-        self.tables: dict[int, np.ndarray] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def text(self, value: int, a: int, b: int) -> float:
         if self.many.kind == "levenshtein":
             return 100.0 * (1 - value / max(a, b, 1))
         return 200.0 * value / (a + b) if a or b else 100.0
 
-    def table(self, a: int) -> tuple[np.ndarray, int]:
-        """Scores of a text of length ``a`` by the other's length, the value and whether digits are shared."""
+    def table(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, in hundredths, of a text of length ``a`` by the other's length, the value and whether digits are shared; and
+        the place at which the scores with each of the others begin."""
         if a not in self.tables:
             lengths = np.unique(self.many.length)
             most = max(a, int(lengths[-1])) + 1
-            out = np.zeros((int(lengths[-1]) + 1, most, 2))
-            for b in map(int, lengths):
+            out = np.zeros((len(lengths), most, 2), np.int32)
+            for i, b in enumerate(map(int, lengths)):
                 for v in range(max(a, b) + 1 if self.many.kind == "levenshtein" else min(a, b) + 1):
                     for d in (0, 1):
-                        out[b, v, d] = combined(self.text(v, a, b), 100.0 * d, self.weights)
-            self.tables[a] = out.ravel(), most
+                        out[i, v, d] = round(combined(self.text(v, a, b), 100.0 * d, self.weights) * 100)
+            self.tables[a] = out.ravel(), np.searchsorted(lengths, self.many.length).astype(np.int32) * (most * 2)
         return self.tables[a]
 
-    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each of the sorted ``texts``, its scores with all."""
-        for text, value in zip(texts, self.many.values(texts)):
-            table, most = self.table(len(text))
-            at = (self.many.length * most + value) * 2
-            shared = [self.holds[r] for r in runs(text) if r in self.holds]
-            if shared:
-                at += np.logical_or.reduce(shared) if len(shared) > 1 else shared[0]
-            yield table[at]
+    def best(self, texts: list[str], least: float, k: int) -> Iterator[tuple[str, list[int], list[float]]]:
+        """For each of the sorted ``texts``, the places of the k best of at least ``least``, ties in their order, and their scores."""
+        need = int(least * 100) - 2
+        while need / 100 < least:
+            need += 1
+        at = np.empty(self.many.n, np.int32)
+        for some, values in self.many.batches(texts):
+            values *= 2
+            for text, value in zip(some, values):
+                table, begin = self.table(len(text))
+                np.add(value, begin, out=at)
+                shared = [self.holds[r] for r in runs(text) if r in self.holds]
+                if shared:
+                    at += np.logical_or.reduce(shared) if len(shared) > 2 else shared[0] | shared[-1]
+                score = table.take(at)
+                if k <= FEW:
+                    places, found = [], []
+                    for _ in range(min(k, len(score))):
+                        i = int(score.argmax())
+                        x = int(score[i])
+                        if x < need or x == GONE:
+                            break
+                        places.append(i)
+                        found.append(x / 100)
+                        score[i] = GONE
+                else:
+                    i = np.flatnonzero(score >= need)
+                    if len(i) > k:
+                        # not below the k-th best
+                        i = i[score[i] >= np.partition(score[i], len(i) - k)[len(i) - k]]
+                    i = i[np.argsort(-score[i], kind="stable")[:k]]
+                    places, found = i.tolist(), (score[i] / 100).tolist()
+                yield text, places, found
 
 
 class TokenSets:

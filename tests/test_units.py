@@ -159,6 +159,61 @@ def test_best_by_text(spark):
                 assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_best_of_many():
+    """Scores ranked in hundredths are those of the plain scorers, and only what texts don't all begin and end with, once for
+    each different beginning, is taken through the table."""
+    import random
+    from unittest import mock
+
+    from kavsak.operators import textmatch
+
+    rng, weights = random.Random(7), (0.8, 0.15, 0.05)
+    text = lambda: "nation mah. " + " ".join(rng.choice(("gul", "no:1", "no:12", "kat 3")) for _ in range(rng.randrange(1, 5))) + " bursa"
+    many, texts = [text() for _ in range(150)], sorted({text() for _ in range(90)})
+
+    def plain(a, b, scorer):
+        digits = 100.0 if textmatch.runs(a) & textmatch.runs(b) else 0.0
+        x = L.ratio(a, b) if scorer == "ratio" else textmatch.Scores([b], scorer, weights).text(distance(a, b), len(a), len(b))
+        return textmatch.combined(x, digits, weights)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    columns, step = [], textmatch._column
+    for scorer in ("levenshtein", "ratio"):
+        for k, least in ((1, 80.0), (3, 95.5), (20, 0.0)):
+            with mock.patch.object(textmatch, "_column", lambda up, *more: (columns.append((up.dtype, len(up))), step(up, *more))):
+                got = list(textmatch.Scores(many, scorer, weights).best(texts, least, k))
+            assert [t for t, _, _ in got] == texts
+            for a, places, scores in got:
+                want = sorted((-plain(a, b, scorer), j) for j, b in enumerate(many))
+                assert list(zip(scores, places)) == [(-s, j) for s, j in want[:k] if -s >= least]
+    beginnings = {t[:n] for t in texts for n in range(13, len(t) - 6 + 1)}
+    assert {str(d) for d, _ in columns} == {"uint32"} and sum(n for _, n in columns) <= 3 * (len(beginnings) + 20 * (len(texts) // textmatch.BATCH + 1))
+
+
+def test_best_per_right_by_text(spark):
+    """The best left row of each right row, of what all left rows get, without a row for each left row and match."""
+    from unittest import mock
+
+    word = lambda i: ("gul", "lale", None, "no 12", "no 3 kat 12", "gul no 1")[i * i % 7 % 6]
+    side = lambda n, m: spark.createDataFrame([(i, f"p{i % 2}", "x", (word(i) or "") + "sk" * (i % m % 4) if i % 13 else None) for i in range(n)], "id long, province string, district string, text string")
+    left, right = side(60, 7), side(90, 5)
+    for k, least in ((1, 80.0), (3, 60.0)):
+        how = (left, right, "province+district", "levenshtein", (0.8, 0.15, 0.05), least, k)
+        want = L.best(L.best_by_text(*how), 1, "right_id", "left_id")
+        with mock.patch.multiple(L, MOST_LEFT=4, MOST_RIGHT=3):
+            found = L.text_matches(*how)
+            assert found.count() == found.select("block", "left_text").distinct().count() < left.where("text IS NOT NULL").count()
+            assert sorted(map(tuple, L.best_per_right_by_text(*how).collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_token_sets():
     import random
 
