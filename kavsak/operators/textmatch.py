@@ -193,11 +193,104 @@ def runs(text: str) -> set[str]:
     return set(re.findall(r"[0-9]+", text))
 
 
+#: Pairs that are taken through a table of stretches at once.
+CELLS = 1 << 15
+
+
+class Partials:
+    """``linkage.partial_ratio`` of texts with many, those of like lengths at once. The states after a stretch's last letter
+    hold the values of its beginnings too; its ends are the beginnings of the texts read backwards."""
+
+    def __init__(self, texts: list[str]):
+        self.n, self.groups = len(texts), []
+        for length, at in sorted(_by_length(texts).items()):
+            codes: dict[str, int] = {}
+            for i in at:
+                for c in texts[i]:
+                    codes.setdefault(c, len(codes))
+            dtype = np.uint64 if length <= WORD else object
+            both = []
+            for way in (1, -1):
+                # the last row is that of letters which no text has
+                rows = [[0] * len(at) for _ in range(len(codes) + 1)]
+                for k, i in enumerate(at):
+                    for b, c in enumerate(texts[i][::way]):
+                        rows[codes[c]][k] |= 1 << b
+                both.append(np.array(rows, dtype).reshape(len(rows), len(at)))
+            self.groups.append((length, np.array(at), codes, *both))
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """A row for each text."""
+        out = np.zeros((len(texts), self.n))
+        for length, rows in _by_length(texts).items():
+            for size, at, codes, ahead, back in self.groups:
+                letters = np.array([[codes.get(c, len(codes)) for c in texts[i]] for i in rows], np.int64).reshape(len(rows), length)
+                step = max(1, CELLS // len(at))
+                for i in range(0, len(rows), step):
+                    out[np.ix_(rows[i : i + step], at)] = self._best(letters[i : i + step], size, ahead, back)
+        return out
+
+    def _best(self, letters: np.ndarray, size: int, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        count, length = letters.shape
+        n = min(length, size)
+        if not n:
+            return np.full((count, ahead.shape[1]), 0.0 if length or size else 100.0)
+        dtype = ahead.dtype
+        bits = lambda k: dtype.type((1 << k) - 1) if dtype != object else (1 << k) - 1
+        ones = (lambda x: np.bitwise_count(x)) if dtype != object else (lambda x: np.array([v.bit_count() for v in x.flat], np.int64).reshape(x.shape))
+        full = bits(n)
+        most, best = np.zeros((count, ahead.shape[1]), np.int64), None
+
+        def run(masks, columns, seen=lambda k, s: None):
+            s = np.full((count, masks.shape[1]), full, dtype)
+            for k, column in enumerate(columns, 1):
+                u = masks.take(column, axis=0)
+                u &= s
+                more = s + u
+                s -= u
+                s |= more
+                seen(k, s)
+            return s
+
+        def begun(k, s):
+            """A stretch of k letters at an end: ``s`` has its value."""
+            nonlocal best
+            if 200.0 * k / (n + k) > least:
+                best = np.maximum(best, 200.0 * (k - ones(s & bits(k)).astype(np.int64)) / (n + k) if length <= size else 200.0 * (n - ones(s & full).astype(np.int64)) / (n + k))
+
+        letters = letters.T
+        for i in range(abs(length - size) + 1):
+            if length <= size:
+                s = run((ahead >> (dtype.type(i) if dtype != object else i)) & full, letters)
+            else:
+                s = run(ahead, letters[i : i + n])
+            np.maximum(most, n - ones(s & full).astype(np.int64), out=most)
+        best = 200.0 * most / (n + n)
+        least = float(best.min())
+        for masks, columns in ((ahead, letters), (back, letters[::-1])):
+            if length <= size:
+                s = run(masks & full, columns)
+                for k in range(1, n):
+                    begun(k, s)
+            else:
+                run(masks, columns[: n - 1], begun)
+        return best
+
+
+def _by_length(texts: list[str]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        out.setdefault(len(t), []).append(i)
+    return out
+
+
 class Scores:
-    """Scores of texts with many: ``scorer`` is levenshtein or ratio, weighed with whether they share a run of digits."""
+    """Scores of texts with many: ``scorer`` is levenshtein, ratio or partial_ratio, weighed with whether they share a run of
+    digits."""
 
     def __init__(self, texts: list[str], scorer: str, weights: tuple[float, float, float]):
         self.many = Many(texts, "levenshtein" if scorer == "levenshtein" else "lcs")
+        self.partials = Partials(texts) if scorer == "partial_ratio" else None
         self.weights, self.holds = weights, {}
         found: dict[str, list[int]] = {}
         for i, t in enumerate(texts):
@@ -232,34 +325,52 @@ class Scores:
         need = int(least * 100) - 2
         while need / 100 < least:
             need += 1
+        for text, score in self._partial(texts) if self.partials else self._whole(texts):
+            if k <= FEW:
+                places, found = [], []
+                for _ in range(min(k, len(score))):
+                    i = int(score.argmax())
+                    x = int(score[i])
+                    if x < need or x == GONE:
+                        break
+                    places.append(i)
+                    found.append(x / 100)
+                    score[i] = GONE
+            else:
+                i = np.flatnonzero(score >= need)
+                if len(i) > k:
+                    # not below the k-th best
+                    i = i[score[i] >= np.partition(score[i], len(i) - k)[len(i) - k]]
+                i = i[np.argsort(-score[i], kind="stable")[:k]]
+                places, found = i.tolist(), (score[i] / 100).tolist()
+            yield text, places, found
+
+    def _shared(self, text: str) -> np.ndarray | None:
+        """Where a run of digits is shared."""
+        held = [self.holds[r] for r in runs(text) if r in self.holds]
+        return (np.logical_or.reduce(held) if len(held) > 2 else held[0] | held[-1]) if held else None
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
         at = np.empty(self.many.n, np.int32)
         for some, values in self.many.batches(texts):
             values *= 2
             for text, value in zip(some, values):
                 table, begin = self.table(len(text))
                 np.add(value, begin, out=at)
-                shared = [self.holds[r] for r in runs(text) if r in self.holds]
-                if shared:
-                    at += np.logical_or.reduce(shared) if len(shared) > 2 else shared[0] | shared[-1]
-                score = table.take(at)
-                if k <= FEW:
-                    places, found = [], []
-                    for _ in range(min(k, len(score))):
-                        i = int(score.argmax())
-                        x = int(score[i])
-                        if x < need or x == GONE:
-                            break
-                        places.append(i)
-                        found.append(x / 100)
-                        score[i] = GONE
-                else:
-                    i = np.flatnonzero(score >= need)
-                    if len(i) > k:
-                        # not below the k-th best
-                        i = i[score[i] >= np.partition(score[i], len(i) - k)[len(i) - k]]
-                    i = i[np.argsort(-score[i], kind="stable")[:k]]
-                    places, found = i.tolist(), (score[i] / 100).tolist()
-                yield text, places, found
+                shared = self._shared(text)
+                if shared is not None:
+                    at += shared
+                yield text, table.take(at)
+
+    def _partial(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        step = 4 * BATCH
+        for i in range(0, len(texts), step):
+            for text, x in zip(texts[i : i + step], self.partials.of(texts[i : i + step])):
+                shared = self._shared(text)
+                score = combine(x, np.zeros(len(x), bool) if shared is None else shared, None, self.weights)
+                # few different ones
+                values, place = np.unique(score, return_inverse=True)
+                yield text, np.rint(rounds(values) * 100).astype(np.int32)[place]
 
 
 class TokenSets:

@@ -214,6 +214,30 @@ def test_best_per_right_by_text(spark):
             assert sorted(map(tuple, L.best_per_right_by_text(*how).collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_partials():
+    import random
+
+    from kavsak.operators import textmatch
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ab ç1") for _ in range(rng.randrange(n)))
+    texts = ["", "a", "ab" * 32, "b1" * 33, *(text(n) for n in (4, 12, 70) * 15)]
+    for many in (["", "b", *(text(n) for n in (5, 14, 30) * 8)], ["ab" * 32, "ba" * 33, *(text(90) for _ in range(12))]):
+        got = textmatch.Partials(many).of(texts)
+        assert got.tolist() == [[L.partial_ratio(a, b) for b in many] for a in texts]
+
+
+def test_partial_ratio_by_text(spark):
+    """What scoring pair by pair gives; missing texts count as empty ones."""
+    word = lambda i: ("gul", "lale mah", "", "no 12", "no 3 kat 12", "gul no 1")[i * i % 7 % 6]
+    side = lambda n, m: spark.createDataFrame([(i, f"p{i % 2}", "x", word(i) + " sk" * (i % m % 3) if i % 13 else None) for i in range(n)], "id long, province string, district string, text string")
+    left, right = side(40, 7), side(50, 5)
+    for k, least in ((1, 80.0), (4, 50.0)):
+        want = L.best(L.scored(L.candidates(left, right, "province+district"), "partial_ratio", (0.8, 0.15, 0.05), least), k).select("left_id", "right_id", "score")
+        got = L.best_by_text(left, right, "province+district", "partial_ratio", (0.8, 0.15, 0.05), least, k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_token_sets():
     import random
 
