@@ -201,3 +201,28 @@ def test_scorers_over_pairs(spark):
         got = {(r["left_id"], r["right_id"]) for r in queries()[name](spark, sf).collect()}
         assert got == want
     assert L.partial_ratio("abcd", "xxabxcd") == max(L.ratio("abcd", "xxabxcd"[max(i, 0) : i + 4]) for i in range(-3, 7))
+
+
+def test_features(spark):
+    """Weights are those of the plain TF-IDF of each channel; what is shuffled are sums of terms, not a row for each text and term."""
+    from pyspark.sql import functions as F
+
+    from kavsak.operators import retrieval as V
+
+    texts = ["Gül sokak gül no 1", "no 12 çınar sokak", None, "", "gül  no", "İzmir sokak no 1 gül", "x"] * 3
+    docs = spark.createDataFrame([(i, t, " a" if i % 2 else " b a") for i, t in enumerate(texts)], "id long, base string, side string")
+    channels = (("base", "char", 2, 3, 2, 25), ("base", "word", 1, 2, 3, 9), ("side", "word", 1, 1, 1, 5))
+    features = C.Features(docs, channels)
+    words = {(r["channel"], r["term"]): r["at"] for r in features.words.collect()}
+    want = {}
+    for k, (text, kind, low, high, least, most) in enumerate(channels):
+        x = F.col(text)
+        terms = V.char_terms(x, low, high) if kind == "char" else V.runs(F.regexp_extract_all(x, F.lit("[a-z0-9çğıöşü]+"), F.lit(0)), low, high)
+        rows = V.tfidf(docs, terms, least, True, most).collect()
+        assert {r["term"] for r in rows} == {t for c, t in words if c == k}
+        want |= {(r["id"], words[k, r["term"]]): round(r["weight"], 9) for r in rows}
+    rows = features.of(docs).collect()
+    got = {(r["id"], int(i)): round(float(x), 9) for r in rows for i, x in zip(r["features"].indices, r["features"].values)}
+    assert got == want and sorted(r["id"] for r in rows) == list(range(len(texts))) and all(r["features"].size == features.size for r in rows)
+    plan = features.of(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
