@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .ordinal import ranked
 
@@ -35,7 +38,7 @@ def _counted(text: str | None, kind: str, low: int, high: int) -> Counter:
         return out
     if kind == "char":
         for n in range(low, high + 1):
-            out.update(map("".join, zip(*(text[i:] for i in range(n)))) if n > 1 else text)
+            out.update(reduce(lambda x, i: map(add, x, text[i:]), range(1, n), text))
         return out
     words = WORD.findall(text)
     for n in range(low, high + 1):
@@ -85,12 +88,12 @@ class Features:
         self.size = self.words.count()
         counts.unpersist()
 
-    def _texts(self, docs: DataFrame) -> DataFrame:
+    def _texts(self, docs: DataFrame, *more: str) -> DataFrame:
         """(id, c0, c1, ...): the text of each channel; runs of characters are those of the lower-case text."""
-        return docs.select("id", *((F.lower(text) if kind == "char" else F.col(text)).alias(f"c{k}") for k, (text, kind, *_) in enumerate(self.channels)))
+        return docs.select("id", *more, *((F.lower(text) if kind == "char" else F.col(text)).alias(f"c{k}") for k, (text, kind, *_) in enumerate(self.channels)))
 
-    def of(self, docs: DataFrame) -> DataFrame:
-        """(id, features); a text without known terms has an empty vector."""
+    def of(self, docs: DataFrame, *more: str) -> DataFrame:
+        """(id, features) and the columns ``more``; a text without known terms has an empty vector."""
         known: list[dict[str, tuple[int, float]]] = [{} for _ in self.channels]
         for r in self.words.toArrow().to_pylist():
             known[r["channel"]][r["term"]] = r["at"], math.log((1 + r["docs"]) / (1 + r["df"])) + 1
@@ -111,13 +114,14 @@ class Features:
                 first = np.concatenate([[0], np.cumsum([len(r) for r in cells])])
                 at, weight = ([c[i] for r in cells for c in r] for i in (0, 1))
                 each = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int32())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(weight, pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *each], ["id", "at", "weight"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *more)), *each], ["id", *more, "at", "weight"])
 
         size = self.size
         vector = F.udf(lambda at, weight: Vectors.sparse(size, at, weight), VectorUDT())
-        rows = self._texts(docs).mapInArrow(weigh, f"id {docs.schema['id'].dataType.simpleString()}, at array<int>, weight array<double>")
+        kept = StructType([docs.schema[c] for c in ("id", *more)]).add("at", ArrayType(IntegerType())).add("weight", ArrayType(DoubleType()))
+        rows = self._texts(docs, *more).mapInArrow(weigh, kept)
         # fits and predictions read the vectors many times
-        return rows.select("id", vector("at", "weight").alias("features")).persist()
+        return rows.select("id", *more, vector("at", "weight").alias("features")).persist()
 
 
 #: Numbers of terms up to which the products of all columns are gathered.
@@ -159,7 +163,8 @@ class Classifier:
         counts = rows.groupBy("label").count()
         n, kinds = counts.agg(F.sum("count"), F.count("*")).first()
         weight = F.lit(float(n)) / (kinds * F.col("count")) if balanced else F.lit(1.0)
-        rows = rows.join(counts, "label").withColumn("weight", weight)
+        # as many rows as the model has classes; the vectors stay where they are
+        rows = rows.join(F.broadcast(counts), "label").withColumn("weight", weight)
         self.model = LogisticRegression(featuresCol=column, labelCol="class", weightCol="weight", maxIter=rounds, regParam=reg, family="multinomial").fit(rows)
 
     def predict(self, rows: DataFrame) -> DataFrame:

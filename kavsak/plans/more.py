@@ -232,8 +232,8 @@ def train_predict(t):
     rows = _languages(t)
     train, test = rows.where("id % 5 > 0"), rows.where("id % 5 = 0")
     features = C.Features(train, (("base", "char", 3, 3, 3, 2000), ("base", "word", 1, 1, 3, 2000), ("side", "word", 1, 1, 3, 100)))
-    model = C.Classifier(features.of(train).join(train.select("id", "label"), "id"), rounds=15)
-    return model.predict(features.of(test)).join(test.select("id", "label"), "id").select("id", "label", "predicted", F.round(F.array_max("probabilities"), 6).alias("confidence"), F.size("probabilities").alias("n_classes"))
+    model = C.Classifier(features.of(train, "label"), rounds=15)
+    return model.predict(features.of(test, "label")).select("id", "label", "predicted", F.round(F.array_max("probabilities"), 6).alias("confidence"), F.size("probabilities").alias("n_classes"))
 
 
 @query()
@@ -242,10 +242,10 @@ def train_reduced(t):
     rows = _languages(t)
     train, test = rows.where("id % 5 > 0"), rows.where("id % 5 = 0")
     features = C.Features(train, (("base", "word", 1, 1, 3, 1500),))
-    fitted = features.of(train)
+    fitted = features.of(train, "label")
     v = C.svd(fitted, min(8, features.size))
-    model = C.Classifier(C.projected(fitted, v).join(train.select("id", "label"), "id"), "reduced", balanced=False, rounds=15)
-    return model.predict(C.projected(features.of(test), v)).join(test.select("id", "label"), "id").select("id", "label", "predicted")
+    model = C.Classifier(C.projected(fitted, v), "reduced", balanced=False, rounds=15)
+    return model.predict(C.projected(features.of(test, "label"), v)).select("id", "label", "predicted")
 
 
 @query("SELECT p_partkey AS id, p_type AS label FROM part")

@@ -226,3 +226,6 @@ def test_features(spark):
     assert got == want and sorted(r["id"] for r in rows) == list(range(len(texts))) and all(r["features"].size == features.size for r in rows)
     plan = features.of(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+    # labels go with the vectors, which no join then moves
+    df = features.of(docs.withColumn("label", F.col("id") % 2), "label")
+    assert {(r["id"], r["label"]) for r in df.collect()} == {(i, i % 2) for i in range(len(texts))} and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
