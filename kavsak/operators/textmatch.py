@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from os.path import commonprefix
@@ -29,6 +29,9 @@ def combined(text: float, digits: float, weights: tuple[float, float, float]) ->
 
 #: Texts that are taken through a table at once; numbers of best ones up to which each is looked for by itself.
 BATCH, FEW = 64, 8
+#: Most letters that are left off at the end to find the texts whose beginnings are near; how many of these there are at least;
+#: pairs of texts that are finished at once; texts that are looked at to tell how many letters are left off.
+LAST, NEAR, PAIRS, SOME = 12, 32, 1 << 18, 1024
 #: Below any score.
 GONE = np.iinfo(np.int32).min
 
@@ -48,10 +51,7 @@ class Many:
     def batches(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         """Some of the sorted ``texts`` and a row for each with its values with all, to be used before the next are asked for.
         What all texts of both sides begin and end with changes no distance and isn't compared."""
-        both = [*self.texts, *texts]
-        head = len(commonprefix(both))
-        tail = min(len(commonprefix([t[head:][::-1] for t in both])), min(map(len, both), default=head) - head)
-        cut = lambda t: t[head : len(t) - tail]
+        cut, alike = self.cut(texts)
         groups = self._groups([cut(t) for t in self.texts])
         # states that are read, states that are written, and room for a column's steps
         rooms = [None if full.dtype == object else [np.empty((BATCH, len(full)), full.dtype) for _ in range(8)] for _, full, _, _ in groups]
@@ -65,9 +65,16 @@ class Many:
                 if found is not rows:
                     rows[:, at] = found
             if self.kind == "lcs":
-                rows += head + tail
+                rows += alike
             yield some, rows
 
+    def cut(self, texts: list[str]) -> tuple[Callable[[str], str], int]:
+        """What leaves a text without the letters that all of both sides begin and end with, and how many those are."""
+        both = [*self.texts, *texts]
+        head = len(commonprefix(both))
+        tail = min(len(commonprefix([t[head:][::-1] for t in both])), min(map(len, both), default=head) - head)
+        return lambda t: t[head : len(t) - tail], head + tail
+
     def _groups(self, texts: list[str]) -> list[tuple]:
         """Places, whole words of bits, numbers of letters and each letter's bits, of texts that fit a word and of others."""
         length = np.array([len(t) for t in texts], np.int64)
@@ -95,7 +102,22 @@ class Many:
 
 
 def _walk(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int], eq: np.ndarray, out: np.ndarray, room: list[np.ndarray]) -> None:
-    """Values of the texts with all, into ``out``: column by column, a row of states for each different beginning."""
+    """Values of the texts with all, into ``out``."""
+    spare = room[4:]
+    bits = np.empty(len(full), np.uint8)
+    for i, d, *states in _states(kind, texts, full, codes, eq, room):
+        up, down = (np.bitwise_and(x, full, out=y[0]) for x, y in zip(states, spare))
+        out[i] = np.bitwise_count(up, out=bits)
+        if kind == "levenshtein":
+            out[i] -= np.bitwise_count(down, out=bits)
+            out[i] += d
+        else:
+            np.subtract(np.bitwise_count(full), bits, out=out[i], dtype=np.int32)
+
+
+def _states(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int], eq: np.ndarray, room: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Each text's place, length and states with all, to be used before the next are asked for: column by column, a row of
+    states for each different beginning."""
     n, now, then, room = len(texts), room[:2], room[2:4], room[4:]
     length = np.array([len(t) for t in texts])
     longest = int(length.max())
@@ -105,8 +127,7 @@ def _walk(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int],
         letters[i, : len(t)] = [codes.get(c, len(eq) - 1) for c in t]
     now[0][0], now[1][0] = full, 0
     node, states = np.zeros(n, np.int64), 1
-    step, ups = (_column, len(full)) if kind == "levenshtein" else (_lcs_column, 0)
-    bits = np.empty(len(full), np.uint8)
+    step = _column if kind == "levenshtein" else _lcs_column
     ending: dict[int, list[int]] = {}
     for i, d in enumerate(length.tolist()):
         ending.setdefault(d, []).append(i)
@@ -114,13 +135,7 @@ def _walk(kind: str, texts: list[str], full: np.ndarray, codes: dict[str, int],
     alike = int(min(length.min(), same[1:].min(initial=longest)))
     for d in range(longest + 1):
         for i in ending.get(d, ()):
-            up, down = (np.bitwise_and(x[node[i]], full, out=y[0]) for x, y in zip(now, room))
-            out[i] = np.bitwise_count(up, out=bits)
-            if ups:
-                out[i] -= np.bitwise_count(down, out=bits)
-                out[i] += d
-            else:
-                np.subtract(np.bitwise_count(full), bits, out=out[i], dtype=np.int32)
+            yield i, d, *(x[node[i]] for x in now)
         if d == longest:
             break
         if d < alike:
@@ -325,6 +340,18 @@ class Scores:
         need = int(least * 100) - 2
         while need / 100 < least:
             need += 1
+        if not self.partials and self.many.kind == "levenshtein" and k <= FEW:
+            near = Near(self, texts, need, k)
+            found = near.found()
+            left = [t for t, x in zip(texts, found) if x is None]
+            rest = self._ranked(left, need, k)
+            for text, x in zip(texts, found):
+                yield next(rest) if x is None else (text, *x)
+        else:
+            yield from self._ranked(texts, need, k)
+
+    def _ranked(self, texts: list[str], need: int, k: int) -> Iterator[tuple[str, list[int], list[float]]]:
+        """As ``best``, from the scores with all."""
         for text, score in self._partial(texts) if self.partials else self._whole(texts):
             if k <= FEW:
                 places, found = [], []
@@ -373,6 +400,158 @@ class Scores:
                 yield text, np.rint(rounds(values) * 100).astype(np.int32)[place]
 
 
+class Near:
+    """The best of ``Scores`` by distance without the distances with all. Texts without their last letters are fewer; the
+    distance of two texts is at least that of their beginnings, which bounds the score of each pair. The pairs
+    with the highest bounds are finished from the states of the beginnings; a text whose k best aren't above the bounds of all
+    other pairs has to be compared with all."""
+
+    def __init__(self, scores: Scores, texts: list[str], need: int, k: int):
+        self.scores, self.texts, self.need, self.k = scores, texts, need, k
+        self.n, self.many = scores.many.n, max(NEAR, 8 * k)
+
+    def found(self) -> list[tuple[list[int], list[float]] | None]:
+        """Places and scores of each text; None if it has to be compared with all."""
+        self.out: list[tuple[list[int], list[float]] | None] = [None] * len(self.texts)
+        if self.n < 4 * self.many or not self.texts:
+            return self.out
+        cut, _ = self.scores.many.cut(self.texts)
+        texts = [cut(t) for t in self.texts]
+        last = _last(texts)
+        groups = self.scores.many._groups([cut(t) for t in self.scores.many.texts]) if last else []
+        if len(groups) != 1 or groups[0][1].dtype == object:
+            return self.out
+        _, self.full, self.codes, self.eq = groups[0]
+        self.length = np.bitwise_count(self.full).astype(np.int32)
+        # tables one after the other, and where the scores with each of the others begin
+        lengths = sorted({len(t) for t in self.texts})
+        each = [self.scores.table(a) for a in lengths]
+        self.table = np.concatenate([x for x, _ in each])
+        self.begin = np.array([b + at for (_, b), at in zip(each, np.cumsum([0] + [len(x) for x, _ in each]).tolist())], np.int32)
+        row = {a: i for i, a in enumerate(lengths)}
+        self.row = np.array([row[len(t)] for t in self.texts])
+        # places of the texts' runs of digits among all; the last holds none
+        code = {r: i for i, r in enumerate(self.scores.holds)}
+        mine = [[code[r] for r in runs(t) if r in code] for t in self.texts]
+        self.runs = np.full((len(texts), max(map(len, mine))), len(code))
+        for i, x in enumerate(mine):
+            self.runs[i, : len(x)] = x
+        self.holds = np.array([*self.scores.holds.values(), np.zeros(self.n, bool)])
+        heads: dict[int, dict[str, list[int]]] = {}
+        for i, t in enumerate(texts):
+            size = min(last, len(t))
+            heads.setdefault(size, {}).setdefault(t[: len(t) - size], []).append(i)
+        room = [np.empty((BATCH, self.n), self.full.dtype) for _ in range(10)]
+        for size, of in heads.items():
+            self.size, self.tails = size, {i: texts[i][len(texts[i]) - size :] for at in of.values() for i in at}
+            names = sorted(of)
+            for i in range(0, len(names), BATCH):
+                self._begun(names[i : i + BATCH], of, room)
+        return self.out
+
+    def _begun(self, heads: list[str], of: dict[str, list[int]], room: list[np.ndarray]) -> None:
+        """The texts with these beginnings."""
+        one, dtype = self.full.dtype.type(1), self.full.dtype
+        over = self.length - self.size
+        # a distance begins at the places before the last letters of the other text, too
+        low = (one << np.maximum(over, 0).astype(dtype)) - one
+        if (over >= 8 * dtype.itemsize).any():
+            low[over >= 8 * dtype.itemsize] = self.full[over >= 8 * dtype.itemsize]
+        more = np.maximum(-over, 0)
+        states, jobs, waiting = room[8:], [], 0
+        for i, d, up, down in _states("levenshtein", heads, self.full, self.codes, self.eq, room[:8]):
+            states[0][i], states[1][i] = up, down
+            least = np.bitwise_count(up & low).astype(np.int32)
+            least -= np.bitwise_count(down & low)
+            least += more
+            at = of[heads[i]]
+            least += d
+            least *= 2
+            least += self.begin[self.row[at[0]]]
+            most = self.table.take(least + 1)
+            chosen = np.flatnonzero(most >= max(int(np.partition(most, self.n - self.many)[self.n - self.many]), self.need))
+            if 4 * len(chosen) <= self.n:
+                most[chosen] = GONE
+                jobs.append((i, at, chosen, int(most.max())))
+        for i, at, chosen, beyond in jobs:
+            step = max(1, PAIRS // max(1, len(chosen)))
+            for j in range(0, len(at), step):
+                part = (i, at[j : j + step], chosen, beyond)
+                size = len(part[1]) * len(chosen)
+                if waiting and waiting[0] + size > PAIRS:
+                    self._finished(waiting[1], heads, states)
+                    waiting = 0
+                waiting = (waiting[0] + size, [*waiting[1], part]) if waiting else (size, [part])
+        if waiting:
+            self._finished(waiting[1], heads, states)
+
+    def _finished(self, jobs: list[tuple[int, list[int], np.ndarray, int]], heads: list[str], states: list[np.ndarray]) -> None:
+        """The rest of the pairs of texts with the places chosen for their beginnings, all at once: a stretch of pairs for each
+        different beginning."""
+        at = np.array([i for _, x, _, _ in jobs for i in x])
+        job = np.repeat(np.arange(len(jobs)), [len(x) for _, x, _, _ in jobs])
+        tails = [self.tails[i] for i in at.tolist()]
+        letters = np.array([[self.codes.get(c, len(self.eq) - 1) for c in t] for t in tails], np.int64).reshape(len(tails), self.size)
+        same = np.array([-1] + [len(commonprefix(x)) for x in zip(tails, tails[1:])])
+        same[1:][job[1:] != job[:-1]] = -1
+        count = np.array([len(c) for _, _, c, _ in jobs])
+        first = np.cumsum(count) - count
+        place = np.concatenate([c for _, _, c, _ in jobs])
+        pairs = np.repeat([i * self.n for i, *_ in jobs], count) + place
+        up, down = (x.ravel().take(pairs)[None] for x in states)
+        node = job
+        for d in range(self.size + 1):
+            # a stretch for each text in the end
+            new = same <= d if d < self.size else np.ones(len(at), bool)
+            parent = node[new]
+            if len(parent) > len(count):
+                pairs = _stretches(first[parent], count[parent])
+                up, down, place = up.take(pairs, axis=1), down.take(pairs, axis=1), place.take(pairs)
+                count = count[parent]
+                first = np.cumsum(count) - count
+            if d == self.size:
+                break
+            node = np.cumsum(new) - 1
+            hits = self.eq.ravel().take(np.repeat(letters[new, d] * self.n, count) + place)[None]
+            _column(up, down, hits, *(np.empty_like(up) for _ in range(3)))
+        full, text = self.full.take(place), np.repeat(np.arange(len(at)), count)
+        value = np.bitwise_count(up[0] & full).astype(np.int64)
+        value -= np.bitwise_count(down[0] & full)
+        value += np.repeat([len(heads[jobs[j][0]]) + self.size for j in job], count)
+        shared = np.zeros(len(place), bool)
+        for x in self.runs[at].T:
+            shared |= self.holds.ravel().take(np.repeat(x * self.n, count) + place)
+        value *= 2
+        value += shared
+        value += self.begin.ravel().take(np.repeat(self.row[at] * self.n, count) + place)
+        score = self.table.take(value).astype(np.int64)
+        # by text, the best first, ties by place
+        top, bits = int(self.table.max()), self.n.bit_length()
+        more, ok = top.bit_length(), score >= self.need
+        order = np.sort((((text[ok] << more) + (top - score[ok])) << bits) + place[ok])
+        text, score, place = order >> bits + more, top - (order >> bits & (1 << more) - 1), order & (1 << bits) - 1
+        begin = np.searchsorted(text, np.arange(len(at) + 1))
+        size = np.minimum(np.diff(begin), self.k)
+        for j, (i, a, b) in enumerate(zip(at.tolist(), begin.tolist(), size.tolist())):
+            found = score[a : a + b].tolist()
+            if jobs[job[j]][3] < (found[-1] if b == self.k else self.need):
+                self.out[i] = place[a : a + b].tolist(), [x / 100 for x in found]
+
+
+def _stretches(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _last(texts: list[str]) -> int:
+    """How many letters to leave off at the end: the least that leaves half as many texts, and more while that leaves about as
+    many; 0 if none does. It is told by texts that follow each other."""
+    texts = texts[max(0, len(texts) - SOME) // 2 :][:SOME]
+    sizes = [len({t[: max(0, len(t) - n)] for t in texts}) for n in range(1, LAST + 1)]
+    least = next((i for i, x in enumerate(sizes) if 2 * x <= len(texts)), None)
+    return 0 if least is None else max(i for i, x in enumerate(sizes) if 5 * x >= 4 * sizes[least]) + 1
+
+
 class TokenSets:
     """``linkage.token_set_ratio`` of a text with many. Each text is the sorted row of its different words, backwards; the words
     that both have are taken out of the bits of one and out of the letters of the other, pair by pair."""

@@ -198,6 +198,51 @@ def test_best_of_many():
     assert {str(d) for d, _ in columns} == {"uint32"} and sum(n for _, n in columns) <= 3 * (len(beginnings) + 20 * (len(texts) // textmatch.BATCH + 1))
 
 
+def test_best_of_near():
+    """Beginnings alone are taken through the table with all texts; a pair is finished only where it may be among the best."""
+    import random
+    from unittest import mock
+
+    from kavsak.operators import textmatch
+
+    rng, weights = random.Random(5), (0.8, 0.15, 0.05)
+    text = lambda names: f"nation mah. {rng.choice(names)} cad. no:{rng.randrange(40)}/{rng.randrange(9)} kat {rng.randrange(5)}"
+    many = list(dict.fromkeys(text(["building"]) for _ in range(600)))
+    texts = {text(["machinery", "building", "x"]) for _ in range(2000)}
+    odd = ["", "nation", "kat 3", many[0] + "9" * 40, many[1][:-1]]
+
+    def plain(a, value):
+        scores = [textmatch.combined(100.0 * (1 - int(v) / max(len(a), len(b), 1)), 100.0 if textmatch.runs(a) & textmatch.runs(b) else 0.0, weights) for b, v in zip(many, value)]
+        return sorted((-x, j) for j, x in enumerate(scores))
+
+    step = textmatch._column
+    for some in (sorted(texts), sorted({*odd, *texts})):
+        every, done = [], []
+        with mock.patch.object(textmatch, "_column", lambda up, *more: (every.append(up.size), step(up, *more))):
+            want = {a: plain(a, x) for a, x in zip(some, textmatch.Many(many, "levenshtein").values(some))}
+        for k, least in ((1, 80.0), (3, 80.0), (3, 99.0)):
+            with mock.patch.object(textmatch, "_column", lambda up, *more: (done.append(up.size), step(up, *more))):
+                got = list(textmatch.Scores(many, "levenshtein", weights).best(some, least, k))
+            assert [a for a, _, _ in got] == some and any(x for _, x, _ in got)
+            assert all(list(zip(scores, places)) == [(-s, j) for s, j in want[a][:k] if -s >= least] for a, places, scores in got)
+        if "" not in some:
+            assert sum(done) < 3 * sum(every) * 4 / 5
+
+
+def test_preview_by_text(spark):
+    """Matches bring the texts that a join by id finds."""
+    from unittest import mock
+
+    side = lambda n, m: spark.createDataFrame([(i, f"p{i % 2}", "x", f"gul no {i % m} kat {i % 3}" if i % 13 else None) for i in range(n)], "id long, province string, district string, text string")
+    left, right = side(60, 7), side(90, 5)
+    for k in (1, 3):
+        how = (left, right, "province+district", "levenshtein", (0.8, 0.15, 0.05), 80.0, k)
+        with mock.patch.multiple(L, MOST_LEFT=4, MOST_RIGHT=3):
+            got = L.preview_by_text(*how)
+            want = L.preview(L.best_by_text(*how), left, right)
+            assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_best_per_right_by_text(spark):
     """The best left row of each right row, of what all left rows get, without a row for each left row and match."""
     from unittest import mock
