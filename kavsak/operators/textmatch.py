@@ -459,20 +459,24 @@ class Near:
             low[over >= 8 * dtype.itemsize] = self.full[over >= 8 * dtype.itemsize]
         more = np.maximum(-over, 0)
         states, jobs, waiting = room[8:], [], 0
-        for i, d, up, down in _states("levenshtein", heads, self.full, self.codes, self.eq, room[:8]):
-            states[0][i], states[1][i] = up, down
-            least = np.bitwise_count(up & low).astype(np.int32)
-            least -= np.bitwise_count(down & low)
-            least += more
-            at = of[heads[i]]
-            least += d
-            least *= 2
-            least += self.begin[self.row[at[0]]]
-            most = self.table.take(least + 1)
-            chosen = np.flatnonzero(most >= max(int(np.partition(most, self.n - self.many)[self.n - self.many]), self.need))
+        for i, _, *both in _states("levenshtein", heads, self.full, self.codes, self.eq, room[:8]):
+            states[0][i], states[1][i] = both
+        up, down = (np.bitwise_and(x[: len(heads)], low, out=y[: len(heads)]) for x, y in zip(states, room))
+        least = np.bitwise_count(up).astype(np.int32)
+        least -= np.bitwise_count(down)
+        least += more + np.array([[len(h)] for h in heads], np.int32)
+        # the scores if digits are shared
+        least *= 2
+        least += 1
+        least += self.begin[self.row[[of[h][0] for h in heads]]]
+        most = self.table.take(least)
+        bound = np.maximum(np.partition(most, self.n - self.many, axis=1)[:, self.n - self.many], self.need)
+        near = most >= bound[:, None]
+        beyond = np.where(near, GONE, most).max(axis=1).tolist()
+        for i, head in enumerate(heads):
+            chosen = np.flatnonzero(near[i])
             if 4 * len(chosen) <= self.n:
-                most[chosen] = GONE
-                jobs.append((i, at, chosen, int(most.max())))
+                jobs.append((i, of[head], chosen, beyond[i]))
         for i, at, chosen, beyond in jobs:
             step = max(1, PAIRS // max(1, len(chosen)))
             for j in range(0, len(at), step):
